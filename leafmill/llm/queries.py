@@ -38,3 +38,19 @@ def p6_one_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     elements = one_form(table(spark, sf_dir, "atomic_elements"), "atomic_elements", "id", "content")
     return elements.unionByName(one_form(table(spark, sf_dir, "hits"), "hits", "doc_id", "text")).distinct()
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold text garbled by a wrong encoding."""
+    from leafmill.llm.encoding import garbled
+
+    return garbled(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+@query
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affected documents with their original text as far as it can be had."""
+    from leafmill.llm.encoding import garbled
+
+    return garbled(table(spark, sf_dir, "documents"))
