@@ -54,3 +54,37 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.encoding import garbled
 
     return garbled(table(spark, sf_dir, "documents"))
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements that hold a line repeated excessively within their source."""
+    from leafmill.llm.lines import excessive
+
+    return excessive(table(spark, sf_dir, "atomic_elements"), table(spark, sf_dir, "corpus")).select("id").distinct()
+
+
+@query
+def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every element's content without the excessive lines."""
+    from leafmill.llm.lines import cleaned
+
+    return cleaned(table(spark, sf_dir, "atomic_elements"), table(spark, sf_dir, "corpus"))
+
+
+@query
+def p4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The excessive lines of each source."""
+    from leafmill.llm.lines import lines_report
+
+    return lines_report(table(spark, sf_dir, "atomic_elements"), table(spark, sf_dir, "corpus"))
+
+
+_LINES = r"""WITH src AS (SELECT DISTINCT doc_id, source FROM corpus WHERE doc_id IS NOT NULL AND source IS NOT NULL),
+ l AS (SELECT id, doc_id, unnest(string_split(content, chr(10))) AS line FROM atomic_elements WHERE type IN ('text', 'list_item', 'footnote', 'caption')),
+ n AS (SELECT id, l.doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '[\s\x{0B}\x{85}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), '\p{Nd}+', '0', 'g')) AS form FROM l JOIN src USING (doc_id)),
+ k AS (SELECT * FROM n WHERE length(regexp_replace(form, '[^\p{L}]', '', 'g')) >= 30),
+ x AS (SELECT source, form, count(DISTINCT doc_id) AS n_docs FROM k GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5)
+"""
+SQL["p4_found"] = _LINES + "SELECT DISTINCT id FROM k JOIN x USING (source, form) WHERE id IS NOT NULL"
+SQL["p4_lines"] = _LINES + "SELECT source, form AS line, n_docs FROM x"
