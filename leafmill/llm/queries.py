@@ -88,3 +88,20 @@ _LINES = r"""WITH src AS (SELECT DISTINCT doc_id, source FROM corpus WHERE doc_i
 """
 SQL["p4_found"] = _LINES + "SELECT DISTINCT id FROM k JOIN x USING (source, form) WHERE id IS NOT NULL"
 SQL["p4_lines"] = _LINES + "SELECT source, form AS line, n_docs FROM x"
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items with which they have at least 16 consecutive words in common."""
+    from leafmill.llm.leaks import leaks
+
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.where("longest_run >= 16").select("doc_id", "item_id")
+
+
+@query
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All leaks with their alignment, edited copies included."""
+    from leafmill.llm.leaks import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
