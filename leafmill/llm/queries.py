@@ -105,3 +105,33 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.leaks import leaks
 
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@query
+def p7_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ranking of the chunks per question from all its score lists."""
+    from leafmill.llm.ranking import one_ranking
+
+    return one_ranking(table(spark, sf_dir, "hits"))
+
+
+@query
+def p7_worth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discounted gain at 10 of that ranking for every judged question, against the best order of its labels."""
+    from leafmill.llm.ranking import one_ranking
+
+    labels = table(spark, sf_dir, "judgments").groupBy("query_id", "doc_id").agg(F.max("grade").alias("grade"))
+    gain = F.pow(F.lit(2.0), F.col("grade")) - 1
+    got = one_ranking(table(spark, sf_dir, "hits")).where("final_rank <= 10").join(labels, ["query_id", "doc_id"])
+    got = got.groupBy("query_id").agg(F.sum(gain / F.log2(F.col("final_rank") + 1)).alias("dcg"))
+    # of the labels only the ten greatest count; grades are few, so their counts per question say where each stands
+    by_grade = labels.where("grade > 0").groupBy("query_id", "grade").agg(F.count("*").alias("n"))
+    best = by_grade.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("grade", "n")), asc=False).alias("g"))
+    flat = F.slice(F.flatten(F.transform("g", lambda x: F.array_repeat(x["grade"], F.least(x["n"], F.lit(10)).cast("int")))), 1, 10)
+    best = best.select("query_id", F.aggregate(F.transform(flat, lambda x, i: (F.pow(F.lit(2.0), x) - 1) / F.log2(i + F.lit(2))), F.lit(0.0), lambda a, x: a + x).alias("ideal"))
+    return best.join(got, "query_id", "left").select("query_id", F.round(F.coalesce("dcg", F.lit(0.0)) / F.col("ideal"), 6).alias("ndcg10"))
+
+
+from leafmill.llm.ranking import SQL as _RANKING  # noqa: E402
+
+SQL["p7_ranking"] = _RANKING
