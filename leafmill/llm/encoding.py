@@ -14,6 +14,7 @@ rows; very long texts are handled whole; only ``doc_id`` and ``text`` are read,
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache, lru_cache
@@ -127,15 +128,19 @@ def _attached(run: str, i: int, n: int, left: str, right: str, c: str) -> bool:
     return not c.isalpha() or before.isalpha() or after.isalpha() or ord(before) > 0x7F or ord(after) > 0x7F
 
 
+#: What the JVM lets through: two neighbouring characters beyond ASCII, a replacement mark or a C1 control. Every span has one.
+PLACES = r"[^\x00-\x7F][^\x00-\x7F]|[\x{0080}-\x{009F}\x{FFFD}]"
+
+
 @cache
-def suspicion() -> str:
-    """A pattern, for Java and Python alike, of a first byte's character followed by a continuation's, in any code page."""
-    parts = [r"\x{FFFD}", r"[\x{0080}-\x{009F}]"]
+def suspicion() -> re.Pattern:
+    """A first byte's character followed by a continuation's, in any one code page, or a mark that is damage by itself."""
+    parts = ["[\x80-\x9f\ufffd]"]
     for page in CODE_PAGES:
         table = to_byte(page)
-        one = lambda lo, hi, t=table: "".join(rf"\x{{{ord(c):04X}}}" for c, b in sorted(t.items()) if lo <= b <= hi)
-        parts.append(f"[{one(0xC2, 0xDF)}][{one(0x80, 0xBF)}]|[{one(0xE0, 0xF4)}][{one(0x80, 0xBF)}]")
-    return "|".join(parts)
+        one = lambda lo, hi, t=table: "".join(re.escape(c) for c, b in sorted(t.items()) if lo <= b <= hi)
+        parts.append(f"[{one(0xC2, 0xF4)}][{one(0x80, 0xBF)}]")
+    return re.compile("|".join(parts))
 
 
 _RUN = regex.compile(r"[^\x00-\x7f](?:[^\x00-\x7f]|[ ?](?=[^\x00-\x7f])|(?<=[^\x00-\x7f])[ ?])*")
@@ -184,10 +189,11 @@ def restore(text: str | None) -> tuple[str | None, int, int, str | None]:
 
 
 def _work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    suspect = suspicion().search
     for b in batches:
         ids, got = [], []
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            r = restore(t)
+            r = restore(t) if suspect(t) else (t, 0, 0, None)
             if r[1] or r[2]:
                 ids.append(i)
                 got.append(r)
@@ -197,5 +203,5 @@ def _work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def garbled(documents: DataFrame) -> DataFrame:
     """Affected documents with restored text, decoded sequences, lost characters and code pages."""
-    rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where(F.col("text").rlike(suspicion()))
+    rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where(F.col("text").rlike(PLACES))
     return rows.mapInArrow(_work, "doc_id bigint, restored string, n_spans int, n_lost int, code_pages string")
