@@ -135,3 +135,20 @@ def p7_worth(spark: SparkSession, sf_dir: str) -> DataFrame:
 from leafmill.llm.ranking import SQL as _RANKING  # noqa: E402
 
 SQL["p7_ranking"] = _RANKING
+
+
+@query
+def p1_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest row of every element in containers of every capacity of pack_limits."""
+    from leafmill.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "atomic_elements"), table(spark, sf_dir, "pack_limits"))
+
+
+@query
+def p1_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers are filled."""
+    from leafmill.llm.packing import fill_report, pack
+
+    limits = table(spark, sf_dir, "pack_limits")
+    return fill_report(pack(table(spark, sf_dir, "atomic_elements"), limits).drop("content"), limits)
