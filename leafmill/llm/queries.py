@@ -152,3 +152,19 @@ def p1_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     limits = table(spark, sf_dir, "pack_limits")
     return fill_report(pack(table(spark, sf_dir, "atomic_elements"), limits).drop("content"), limits)
+
+
+@query
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture with their number of copies."""
+    from leafmill.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+@query
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    from leafmill.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
