@@ -168,3 +168,19 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of citations and chunks with at least 100 consecutive characters in common."""
+    from leafmill.llm.spans import shared_pairs
+
+    return shared_pairs(table(spark, sf_dir, "citations"), table(spark, sf_dir, "hits"))
+
+
+@query
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each citation and chunk stands elsewhere too."""
+    from leafmill.llm.spans import shared_shares
+
+    return shared_shares(table(spark, sf_dir, "citations"), table(spark, sf_dir, "hits"))
