@@ -184,3 +184,19 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.spans import shared_shares
 
     return shared_shares(table(spark, sf_dir, "citations"), table(spark, sf_dir, "hits"))
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements that show damage of a scanned page."""
+    from leafmill.llm.scans import damaged
+
+    return damaged(table(spark, sf_dir, "atomic_elements")).select("id")
+
+
+@query
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged elements as continuous readable paragraphs."""
+    from leafmill.llm.scans import repaired
+
+    return repaired(table(spark, sf_dir, "atomic_elements"))
