@@ -200,3 +200,19 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.scans import repaired
 
     return repaired(table(spark, sf_dir, "atomic_elements"))
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements that stop before their end."""
+    from leafmill.llm.truncation import judged
+
+    return judged(table(spark, sf_dir, "atomic_elements")).where("truncated").select("id")
+
+
+@query
+def p3_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of cut elements per source."""
+    from leafmill.llm.truncation import by_source
+
+    return by_source(table(spark, sf_dir, "atomic_elements"), table(spark, sf_dir, "corpus"))
