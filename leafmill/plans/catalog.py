@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from leafmill.plans import scalars, trees  # noqa: F401
+from leafmill.plans import answers, chunks, scalars, search, trees  # noqa: F401
 from leafmill.plans.base import QUERIES, SQL  # noqa: F401
