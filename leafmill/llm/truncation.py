@@ -225,8 +225,10 @@ def _score(shared) -> Callable:
         model: Model = shared.value
         for b in batches:
             out: list[list] = [[] for _ in names[5:]]
-            for ty, t in zip(b.column("type").to_pylist(), b.column("content").to_pylist(), strict=True):
-                for c, v in zip(out, judge(t, TYPES.index(ty), model), strict=True):
+            texts, types = b.column("content").to_pylist(), b.column("type").to_pylist()
+            clean = without_furniture([None if ty == "table" else t for t, ty in zip(texts, types, strict=True)], model.furniture)
+            for ty, t, (bare, _) in zip(types, texts, clean, strict=True):
+                for c, v in zip(out, judge(t, bare, TYPES.index(ty), model), strict=True):
                     c.append(v)
             kinds = (pa.int32(), pa.float64(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names[:5]] + [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
@@ -237,8 +239,8 @@ def _score(shared) -> Callable:
 CUT, WHOLE, ASK = 1, 0, 2
 
 
-def judge(text: str | None, ty: int, model: Model) -> tuple[int, float | None, int | None, bool, bool, bool]:
-    """(verdict, log-odds, group, last word whole, begins in mid-sentence, to be passed over as a next element)."""
+def judge(text: str | None, clean: str | None, ty: int, model: Model) -> tuple[int, float | None, int | None, bool, bool, bool]:
+    """A text and the same without furniture: (verdict, log-odds, group, last word whole, begins in mid-sentence, passed over)."""
     if not text or text.isspace():
         return WHOLE, None, None, True, False, True
     if ty == TYPES.index("table"):
@@ -248,7 +250,7 @@ def judge(text: str | None, ty: int, model: Model) -> tuple[int, float | None, i
         ragged = rows[0].lstrip().startswith("|") and (not rows[-1].rstrip().endswith("|") or rows[-1].count("|") < cells)
         if rows[0].lstrip().startswith("|"):
             return CUT if ragged or marked else WHOLE, None, None, True, False, True
-    clean, n = without_furniture(text, model.furniture)
+        clean = text
     if not clean.strip():
         return WHOLE, None, None, True, False, True
     on = goes_on(clean[:200], model.starts)
