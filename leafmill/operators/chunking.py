@@ -7,9 +7,8 @@ document or block of any size never comes into one task as a whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from leafmill.config import DEFAULT, Compat, Settings
 from leafmill.functions.text import DANGLING
+from leafmill.operators.folds import in_groups
 
 STRETCH = 4096
 
@@ -177,29 +177,24 @@ def pack(units: list[dict], s: Settings = DEFAULT) -> list[dict]:
 _CHUNK = "chunk_id string, doc_id string, document string, section string, token_count int, text string, images array<string>, first_order int, last_order int"
 
 
-def _build(s: Settings) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["atomic_order", "id"])
-        units = pdf[["id", "type", "heading_type", "description", "content", "atomic_order", "size"]].astype(object).where(pdf.notna(), None).to_dict("records")
-        first = pdf.iloc[0]
-        label = re.sub(r"^#+", "", units[0]["content"] or "").strip() if units[0]["type"] == "section_header" else ""
-        label = "" if len(label) > 300 else label
-        base = first["path"] or ""
-        section = base if first["fits"] or not label or base.endswith(label) else f"{base} > {label}" if base else label
-        if first["fits"] or sum(u["size"] for u in units) <= s.chunk_max_token:
-            text, images = assemble(units)
-            chunks = [{"first": units[0]["atomic_order"], "last": units[-1]["atomic_order"], "part": None, "text": text, "images": images, "tokens": sum(u["size"] for u in units)}]
-            chunks = [c for c in chunks if c["text"].strip() or c["images"]]
-        else:
-            chunks = pack(units, s)
-        rows, used = [], {}
-        for c in chunks:
-            cid = f"{first['document']}__chunk_{c['first']}_{c['last']}" + (f"_part_{c['part']}" if c["part"] is not None else "")
-            used[cid] = used.get(cid, -1) + 1
-            rows.append((cid if not used[cid] else f"{cid}_{used[cid]}", first["doc_id"], first["document"], section or "General", int(c["tokens"]), c["text"], c["images"], int(c["first"]), int(c["last"])))
-        return pd.DataFrame(rows, columns=["chunk_id", "doc_id", "document", "section", "token_count", "text", "images", "first_order", "last_order"])
-
-    return work
+def _chunks_of(units: list[dict], s: Settings) -> list[tuple]:
+    first = units[0]
+    label = re.sub(r"^#+", "", first["content"] or "").strip() if first["type"] == "section_header" else ""
+    label = "" if len(label) > 300 else label
+    base = first["path"] or ""
+    section = base if first["fits"] or not label or base.endswith(label) else f"{base} > {label}" if base else label
+    if first["fits"] or sum(u["size"] for u in units) <= s.chunk_max_token:
+        text, images = assemble(units)
+        chunks = [{"first": first["atomic_order"], "last": units[-1]["atomic_order"], "part": None, "text": text, "images": images, "tokens": sum(u["size"] for u in units)}]
+        chunks = [c for c in chunks if c["text"].strip() or c["images"]]
+    else:
+        chunks = pack(units, s)
+    rows, used = [], {}
+    for c in chunks:
+        cid = f"{first['document']}__chunk_{c['first']}_{c['last']}" + (f"_part_{c['part']}" if c["part"] is not None else "")
+        used[cid] = used.get(cid, -1) + 1
+        rows.append((cid if not used[cid] else f"{cid}_{used[cid]}", first["doc_id"], first["document"], section or "General", int(c["tokens"]), c["text"], c["images"], int(c["first"]), int(c["last"])))
+    return rows
 
 
 def semantic_chunks(units: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -207,9 +202,10 @@ def semantic_chunks(units: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
     ``top`` is the emitted node and ``fits`` says that it makes one chunk; otherwise its blocks are chunked one by one.
     """
+    units = units.withColumn("atomic_order", F.coalesce("atomic_order", F.lit(0)))
     small = units.where("fits").withColumn("block", F.lit(0).cast("bigint")).withColumn("stretch", F.lit(0).cast("bigint"))
-    large = block_numbers(units.where("not fits"), ["doc_id", "top"]).withColumn("stretch", F.floor(F.coalesce("atomic_order", F.lit(0)) / STRETCH))
-    return small.unionByName(large).groupBy("doc_id", "top", "block", "stretch").applyInPandas(_build(s), _CHUNK)
+    large = block_numbers(units.where("not fits"), ["doc_id", "top"]).withColumn("stretch", F.floor(F.col("atomic_order") / STRETCH))
+    return in_groups(small.unionByName(large), ["doc_id", "top", "block", "stretch"], ["atomic_order", "id"], lambda rows: _chunks_of(rows, s), _CHUNK)
 
 
 # ---- fixed windows --------------------------------------------------------------------------------------------------------
@@ -314,13 +310,12 @@ def title_chunks(rows: DataFrame, most: int = 3000, soft: int = 2400, combine: i
     titles = F.when(F.col("type") == "section_header", 1).otherwise(0)
     r = rows.where(F.col("content").isNotNull() & F.col("doc_id").isNotNull()).withColumn("title", titles).withColumn("stretch", F.floor(F.coalesce("atomic_order", F.lit(0)) / STRETCH))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["atomic_order", "id"])
+    def work(units: list[dict]) -> list[tuple]:
         sections: list[list[str]] = [[]]
-        for title, text in zip(pdf.title.tolist(), pdf.content.tolist(), strict=True):
-            if title and sum(map(len, sections[-1])) >= combine:
+        for u in units:
+            if u["title"] and sum(map(len, sections[-1])) >= combine:
                 sections.append([])
-            sections[-1].append(text)
+            sections[-1].append(u["content"])
         out = []
         for sec, texts in enumerate(sections):
             k, now = 0, ""
@@ -332,7 +327,7 @@ def title_chunks(rows: DataFrame, most: int = 3000, soft: int = 2400, combine: i
                     now = f"{now}\n\n{p}" if now else p
             if now.strip():
                 out.append((sec, k, now))
-        d, s = pdf.doc_id.iloc[0], int(pdf.stretch.iloc[0])
-        return pd.DataFrame([(d, s, *x) for x in out], columns=["doc_id", "stretch", "section", "k", "text"])
+        return [(units[0]["doc_id"], units[0]["stretch"], *x) for x in out]
 
-    return r.select("doc_id", "id", "atomic_order", "title", "content", "stretch").groupBy("doc_id", "stretch").applyInPandas(work, "doc_id string, stretch bigint, section int, k int, text string")
+    cols = r.select("doc_id", "id", F.coalesce("atomic_order", F.lit(0)).alias("atomic_order"), "title", "content", "stretch")
+    return in_groups(cols, ["doc_id", "stretch"], ["atomic_order", "id"], work, "doc_id string, stretch bigint, section int, k int, text string")

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
+from leafmill.operators.folds import in_groups
 
 MAX_LEVELS = 8
 
@@ -69,27 +69,26 @@ def assign_nodes(headings: DataFrame, nodes: DataFrame, threshold: int = 90, str
     left = headings.select("doc_id", F.lit(0).alias("kind"), F.col("atomic_order").cast("int").alias("pos"), X.normalize_title(F.col("title")).alias("t"), page(headings).alias("page"))
     right = nodes.select("doc_id", F.lit(1).alias("kind"), F.col("pre").cast("int").alias("pos"), X.normalize_title(F.col("title")).alias("t"), page(nodes).alias("page"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["kind", "pos", "t"])
-        heads, want = pdf[pdf.kind == 0], pdf[pdf.kind == 1]
-        titles, pages, pres = want.t.tolist(), want.page.tolist(), want.pos.tolist()
+    def fold(rows: list[dict]) -> list[tuple]:
+        heads, want = [r for r in rows if r["kind"] == 0], [r for r in rows if r["kind"] == 1]
         exact: dict[str, list[int]] = {}
-        for k, t in enumerate(titles):
-            exact.setdefault(t, []).append(k)
+        for k, w in enumerate(want):
+            exact.setdefault(w["t"], []).append(k)
         out, nxt = [], 0
-        for pos, t, p in zip(heads.pos.tolist(), heads.t.tolist(), heads.page.tolist(), strict=True):
-            if nxt >= len(titles):
+        for h in heads:
+            if nxt >= len(want):
                 break
-            fits = lambda k, p=p: pd.isna(p) or pd.isna(pages[k]) or p == pages[k]
-            hit = nxt if fits(nxt) and match_ratio(t, titles[nxt]) >= threshold else None
+            fits = lambda k, p=h["page"]: p is None or want[k]["page"] is None or p == want[k]["page"]
+            hit = nxt if fits(nxt) and match_ratio(h["t"], want[nxt]["t"]) >= threshold else None
             if hit is None and not strict:
-                hit = next((k for k in exact.get(t, ()) if k >= nxt and fits(k)), None)
+                hit = next((k for k in exact.get(h["t"], ()) if k >= nxt and fits(k)), None)
             if hit is not None:
-                out.append((pdf.doc_id.iloc[0], pos, pres[hit]))
+                out.append((h["doc_id"], h["pos"], want[hit]["pos"]))
                 nxt = hit + 1
-        return pd.DataFrame(out, columns=["doc_id", "atomic_order", "pre"])
+        return out
 
-    return left.unionByName(right).where("doc_id is not null and pos is not null").groupBy("doc_id").applyInPandas(fold, "doc_id string, atomic_order int, pre int")
+    rows = left.unionByName(right).where("doc_id is not null and pos is not null")
+    return in_groups(rows, ["doc_id"], ["kind", "pos", "t"], fold, "doc_id string, atomic_order int, pre int")
 
 
 def running_last(df: DataFrame, group: str, order: str, value: str, out: str, stretch: int = 4096) -> DataFrame:

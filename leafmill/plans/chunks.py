@@ -11,7 +11,7 @@ from leafmill.operators import hierarchy as H
 from leafmill.operators import indexing as I
 from leafmill.plans.base import WS, core
 from leafmill.plans.trees import latest, placed, tree
-from leafmill.runtime import table
+from leafmill.runtime import cut, table
 
 _DOCS = "d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND length(text) > 0)"
 
@@ -50,12 +50,12 @@ def chunk_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hsf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hierarchical-semantic chunks of every document."""
-    own = placed(spark, sf_dir)
     nodes = tree(spark, sf_dir)
-    totals = H.subtree_tokens(nodes, own.groupBy("doc_id", "pre").agg(F.sum("size").alias("own_tokens")))
-    cut = H.choose_cut(nodes, totals)
+    own = placed(spark, sf_dir, nodes)
+    totals = cut(H.subtree_tokens(nodes, own.groupBy("doc_id", "pre").agg(F.sum("size").alias("own_tokens"))))
+    stops = H.choose_cut(nodes, totals)
     joined = nodes.join(totals, ["doc_id", "pre"])
-    tops = cut.select("doc_id", F.col("pre").alias("top"), "whole").join(joined.select("doc_id", F.col("pre").alias("top"), "path", "token_count", "own_tokens"), ["doc_id", "top"])
+    tops = stops.select("doc_id", F.col("pre").alias("top"), "whole").join(joined.select("doc_id", F.col("pre").alias("top"), "path", "token_count", "own_tokens"), ["doc_id", "top"])
     # a unit belongs to the emitted node above its own; inner nodes that do not fit take only what is theirs alone
     above = nodes.select("doc_id", "pre", F.explode(F.concat("ancestors", F.array("pre"))).alias("top")).join(tops, ["doc_id", "top"]).where("whole or pre = top")
     above = above.select("doc_id", "pre", "top", "path", (F.when(F.col("whole"), F.col("token_count")).otherwise(F.col("own_tokens")) <= 600).alias("fits"))

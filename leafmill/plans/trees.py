@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as X
 from leafmill.operators import hierarchy as H
 from leafmill.plans.base import core
-from leafmill.runtime import latest_by_id, table
+from leafmill.runtime import cut, latest_by_id, table
 
 FIELDS = ["created_at", "atomic_order", "token_count", "doc_id", "type", "heading_type", "description", "content"]
 LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST, atomic_order DESC NULLS LAST, token_count DESC NULLS LAST, doc_id DESC NULLS LAST, type DESC NULLS LAST, heading_type DESC NULLS LAST, description DESC NULLS LAST, content DESC NULLS LAST) AS rn FROM atomic_elements WHERE id IS NOT NULL) WHERE rn = 1"
@@ -23,16 +23,16 @@ def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.toc_to_tree(table(spark, sf_dir, "toc"))
+    return cut(H.toc_to_tree(table(spark, sf_dir, "toc")))
 
 
-def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def placed(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -> DataFrame:
     """Elements with the open entry of their document; those before the first heading, or without entries, lie in -1."""
-    rows = latest(spark, sf_dir).where("doc_id is not null")
+    rows = cut(latest(spark, sf_dir).where("doc_id is not null"))
     heads = rows.where("type = 'section_header' and heading_type = 'main'").select("doc_id", "atomic_order", F.col("content").alias("title"))
-    opened = H.assign_nodes(heads, tree(spark, sf_dir).select("doc_id", "pre", "title")).select(F.col("doc_id").alias("o_doc"), F.col("atomic_order").alias("o_at"), F.col("pre").alias("opens"))
+    opened = H.assign_nodes(heads, (nodes or tree(spark, sf_dir)).select("doc_id", "pre", "title")).select(F.col("doc_id").alias("o_doc"), F.col("atomic_order").alias("o_at"), F.col("pre").alias("opens"))
     heads = rows.join(opened, (F.col("doc_id") == F.col("o_doc")) & (F.col("atomic_order") == F.col("o_at")) & (F.col("heading_type") == "main"), "left").drop("o_doc", "o_at")
-    return H.running_last(heads, "doc_id", "atomic_order", "opens", "open").withColumn("pre", F.coalesce("open", F.lit(-1))).drop("opens", "open")
+    return cut(H.running_last(heads, "doc_id", "atomic_order", "opens", "open").withColumn("pre", F.coalesce("open", F.lit(-1))).drop("opens", "open"))
 
 
 _TREE = """n AS (SELECT doc_id, toc_order AS pre, level, coalesce(title, '') AS title, page FROM toc),
@@ -86,14 +86,15 @@ def choose_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 @core()
 def subtree_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every element under every entry whose subtree holds it."""
-    return H.subtree_units(tree(spark, sf_dir), placed(spark, sf_dir).where("pre >= 0").select("doc_id", "pre", "id"))
+    nodes = tree(spark, sf_dir)
+    return H.subtree_units(nodes, placed(spark, sf_dir, nodes).where("pre >= 0").select("doc_id", "pre", "id"))
 
 
 @core()
 def node_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roll-up of the elements' tokens over the tables of contents."""
-    own = placed(spark, sf_dir).groupBy("doc_id", "pre").agg(F.sum("size").alias("own_tokens"))
-    return H.subtree_tokens(tree(spark, sf_dir), own)
+    nodes = tree(spark, sf_dir)
+    return H.subtree_tokens(nodes, placed(spark, sf_dir, nodes).groupBy("doc_id", "pre").agg(F.sum("size").alias("own_tokens")))
 
 
 @core(f"WITH l AS ({LATEST}) SELECT id, doc_id, atomic_order, type, {_SIZE} AS size FROM l")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.operators.chunking import STRETCH, incomplete, tokens
+from leafmill.operators.folds import in_groups
 
 OUT = "id string, doc_id string, atomic_order int, type string, content string, token_count int, n_joined int"
 
@@ -56,14 +57,13 @@ def stitch(elements: DataFrame) -> DataFrame:
     rows = elements.where("doc_id is not null and id is not null").select("id", "doc_id", F.coalesce("atomic_order", F.lit(0)).cast("int").alias("atomic_order"), F.coalesce("type", F.lit("")).alias("type"), "content")
     rows = rows.withColumn("stretch", F.floor(F.col("atomic_order") / STRETCH))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["atomic_order", "id"])
+    def work(units: list[dict]) -> list[tuple]:
         buf = Buffer()
-        for e in pdf.to_dict("records"):
+        for e in units:
             buf.add({k: e[k] for k in ("id", "atomic_order", "type", "content")})
-        return _rows(buf.rest(), pdf.doc_id.iloc[0])
+        return [(e["id"], units[0]["doc_id"], e["atomic_order"], e["type"], e["content"], tokens(e["content"] or ""), e["n_joined"]) for e in buf.rest()]
 
-    return rows.groupBy("doc_id", "stretch").applyInPandas(work, OUT)
+    return in_groups(rows, ["doc_id", "stretch"], ["atomic_order", "id"], work, OUT)
 
 
 def stitch_stream(elements: DataFrame, above: int = 100, most: int = 200) -> DataFrame:
