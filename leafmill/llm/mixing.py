@@ -3,8 +3,8 @@
 Every document is counted once, by source and exact token length. The mixture's size is the largest for which every source can
 deliver its share with at most ``max_repeats`` copies of a document (or ``total_tokens``, if given). A source's budget is met by
 whole rounds over all its documents, then by a part of one more round: of the n documents of a length, the same
-fraction of each length is taken, rounded down, and what is left of the budget is fitted by a bounded knapsack over
-the remaining counts (reachable sums as bit sets). Which documents of a length are taken is decided by a seeded hash.
+fraction of each length is taken, rounded down and short of a window, and what is left of the budget is fitted by a
+bounded knapsack over the remaining counts (reachable sums as bit sets). Which documents of a length are taken is decided by a seeded hash.
 
 The knapsack sees only (length, count) pairs of one source, never documents. Choosing the first m of the n documents of a
 length is done over hash buckets of about ``BUCKET`` documents with running counts, so one length may hold any
@@ -66,10 +66,10 @@ def fit(lengths: list[int], counts: list[int], budget: int, max_repeats: int, se
     rest = budget - rounds * total
     if rounds == max_repeats or not rest:
         return rounds, [0] * len(lengths), rest
-    extra = [c * rest // total for c in counts]
+    window = min(2 * max(lengths), 1 << 16)
+    extra = [c * max(0, rest - window) // total for c in counts]  # the window is left to the knapsack
     rest -= sum(n * x for n, x in zip(lengths, extra, strict=True))
     order = sorted(range(len(lengths)), key=lambda k: hashlib.md5(f"{seed}:{lengths[k]}".encode()).digest())
-    window = min(2 * max(lengths), 1 << 16)
     for k in order:  # the rounding, undone for lengths in seeded order until the knapsack's window is reached
         if rest - lengths[k] >= window and extra[k] < counts[k]:
             extra[k] += 1
