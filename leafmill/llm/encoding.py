@@ -105,6 +105,9 @@ def decode_run(run: str, left: str, right: str, page: str, lenient: bool) -> tup
         if step and i + step[0] <= len(run):
             seq = codes[i : i + step[0]]
             well = (seq[1] == LOST or step[1] <= seq[1] <= step[2]) and all(x == LOST or 0x80 <= x <= 0xBF for x in seq[2:])
+            odd = LOST in seq or " " in run[i : i + step[0]]
+            if lenient and (not odd or run[i] in QUOTES):  # this pass is for damaged sequences only; whole ones are done
+                well = False
             if well and (c := _complete(seq, page)) is not None and _attached(run, i, step[0], left, right, c):
                 out.append(c)
                 covered += step[0]
