@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmill.llm.scans import _HIDDEN, SAMPLE, train_furniture, without_furniture
+from leafmill.llm.scans import _HIDDEN, sample_lines, train_furniture, without_furniture
 from leafmill.runtime import cut
 
 TYPES = ("text", "footnote", "table")
@@ -44,7 +44,10 @@ _FINAL = set(".?!:;)]}”»\"'．？！：；）］。|")
 _STOP = set(".?!．？！。")
 _VI = re.compile("[ăđơưạ-ỹ]", re.I)
 _LABEL = re.compile(r"(?:^|[.?!…:]\s+|\n)\s*([^\W\d_][^.:?!\n|]{1,30}):\s")
-_CAPITAL = re.compile(r"(?:(^|[.?!:…]\s+|\n)[¿¡“„«\"(]*)?(?<![^\W_])([^\W\d_a-zß-öø-ÿ][^\W\d_]+)")
+_UPPER = "".join(c for c in map(chr, range(0x41, 0x1F00)) if c.isupper() and (ord(c) < 0x250 or ord(c) >= 0x1E00))
+_CAPITAL = re.compile(f"[{_UPPER}][^\\W\\d_]+")
+_HEAD = re.compile(f"(?:^|[.?!:…]\\s+|\\n\\s*)[¿¡“„«\"(]*([{_UPPER}][^\\W\\d_]+)")
+_SPLIT = re.compile(r"[-‐¬\u00ad][ \t]*\n[ \t]*")
 _LIST = re.compile(r"^\s*(?:#{1,6}\s|[-*•]\s|\d+(?:\.\d+)*\.?\s+[^\W\d_])")
 #: Frequent function words by which languages are told apart.
 _FUNCTION = {"en": (" the ", " and ", " that ", " of "), "fr": (" les ", " et ", " des ", " la "), "es": (" los ", " y ", " que ", " el "), "de": (" die ", " und ", " der ", " den ")}
@@ -59,14 +62,45 @@ def language(text: str) -> int:
     return LANGS.index(best)
 
 
+_ALPHA: list[np.ndarray] = []
+
+
 def shape(text: str) -> str:
-    """What the model reads: lower case, single blanks, digits alike."""
-    joined = re.sub(r"[-‐¬\u00ad][ \t]*\n[ \t]*", "", _HIDDEN.sub("", text))
-    return re.sub(r"\d", "0", re.sub(r"\s+", " ", joined.strip().lower()))
+    """What the model reads: lower case, single blanks, broken words whole."""
+    if not text.isascii():
+        text = _HIDDEN.sub("", text)
+    if "\n" in text:
+        text = _SPLIT.sub("", text)
+    return " ".join(text.lower().split())
+
+
+def tail_shape(text: str) -> str:
+    """The end of the shape, as much as contexts need."""
+    return shape(text.rstrip()[-64:])[-max(ORDERS) - 1 :]
+
+
+def _letters() -> np.ndarray:
+    if not _ALPHA:
+        _ALPHA.append(np.array([chr(c).isalpha() for c in range(0x10000)]))
+    return _ALPHA[0]
 
 
 def _codes(s: str) -> np.ndarray:
-    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    """Characters as numbers, digits alike."""
+    c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where((c >= 49) & (c <= 57), 48, c).astype(np.uint64)
+
+
+def last_contexts(s: str) -> list[int]:
+    """The buckets of ``contexts`` at the last place, order by order, without arrays."""
+    h, out = 0, []
+    for n in range(1, max(ORDERS) + 1):
+        c = ord(s[-n]) if n <= len(s) else 0
+        h = (h * 1_000_003 + (48 if 49 <= c <= 57 else c)) & 0xFFFFFFFFFFFFFFFF
+        if n in ORDERS:
+            m = (h ^ (h >> 31)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+            out.append((m >> 40) & (BUCKETS - 1))
+    return out
 
 
 def contexts(codes: np.ndarray) -> dict[int, np.ndarray]:
@@ -78,22 +112,24 @@ def contexts(codes: np.ndarray) -> dict[int, np.ndarray]:
         if n in ORDERS:
             m = h ^ (h >> np.uint64(31))
             m = m * np.uint64(0x9E3779B97F4A7C15)
-            out[n] = ((m >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)
+            out[n] = ((m >> np.uint64(40)) & np.uint64(BUCKETS - 1)).astype(np.int64)
     return out
 
 
 def open_end(text: str) -> tuple[str, bool]:
     """The text without a mark of its stop, and whether one stood there."""
-    m = _MARK.search(text)
-    return (text[: m.start()], True) if m else (text, False)
+    text = text.rstrip()
+    m = _MARK.search(text[-24:])
+    return (text[: max(0, len(text) - 24) + m.start()].rstrip(), True) if m else (text, False)
 
 
 def last_labels(text: str) -> set[str]:
     """The label of the last sentence, if it has one: after the last final mark, or on the last line."""
+    text = text.rstrip()
+    last = text[max(text.rfind(c) for c in ".?!…") + 1 :]
     out = set()
-    for part in (re.sub(r"\s*\n\s*", " ", text), text[text.rstrip().rfind("\n") + 1 :]):
-        cut_at = max(part.rfind(c) for c in ".?!…")
-        if m := re.match(r"\s*([^\W\d_][^.:?!|]{1,30}):\s", part[cut_at + 1 :]):
+    for part in {" ".join(last.split()), last[last.rfind("\n") + 1 :]}:
+        if ":" in part and (m := re.match(r"\s*([^\W\d_][^.:?!|]{1,30}):\s", part)):
             out.add(shape(m[1]))
     return out
 
@@ -113,10 +149,11 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             body, marked = open_end(t)
             if marked or not body.strip():
                 continue
-            s = shape(body)
-            ctx = contexts(_codes(s[-max(ORDERS) - 1 :]))
-            for k, n in enumerate(ORDERS):
-                ends[ty * len(ORDERS) + k, int(ctx[n][-1])] += 1
+            s = tail_shape(body)
+            if not s:
+                continue
+            for k, bucket in enumerate(last_contexts(s)):
+                ends[ty * len(ORDERS) + k, bucket] += 1
             if s[-1] not in _FINAL:
                 labels.update(last_labels(body))
     rows = [(str(k[0]), k[1], v) for k, v in ends.items()] + [("label:" + k, -1, v) for k, v in labels.items()]
@@ -152,10 +189,10 @@ class Model:
 
     def odds(self, s: str, ty: int) -> tuple[float, bool]:
         """Log-odds of ending here without the value's own end, and whether the last word may be whole."""
-        ctx = contexts(_codes(s[-max(ORDERS) - 1 :]))
+        ctx = last_contexts(s)
         out, whole, found = 0.0, False, False
         for k in range(len(ORDERS) - 1, -1, -1):
-            i = self.table(ty * len(ORDERS) + k)[int(ctx[ORDERS[k]][-1])]
+            i = self.table(ty * len(ORDERS) + k)[ctx[k]]
             if i < 0:
                 continue
             go_on = self.total[i] - self.ends[i]
@@ -179,19 +216,14 @@ def _totals(shared) -> Callable:
             groups: dict[int, list[str]] = {}
             for ty, t in _pieces(b):
                 groups.setdefault(ty, []).append(shape(open_end(t)[0]))
-                for m in _LABEL.finditer(t):
-                    labels[shape(m[1])] += 1
+                if ":" in t:
+                    labels.update(_LABEL.findall(t))
                 if ty == 0:
-                    for m in _CAPITAL.finditer(t):
-                        caps[m[2]] += 1
-                        if m[1] is not None:
-                            heads[m[2]] += 1
+                    caps.update(_CAPITAL.findall(t))
+                    heads.update(_HEAD.findall(t))
             for g, texts in groups.items():
                 codes = _codes(pad + pad.join(texts) + pad)
-                letters = np.zeros(0x10000, bool)
-                low = np.minimum(codes, 0xFFFF).astype(np.int64)
-                for c in np.unique(low):
-                    letters[c] = chr(c).isalpha()
+                letters, low = _letters(), np.minimum(codes, 0xFFFF).astype(np.int64)
                 brk = np.concatenate([~letters[low[1:]], [True]]) & (np.concatenate([codes[1:], [0]]) > 0)
                 ctx = contexts(codes)
                 for k, n in enumerate(ORDERS):
@@ -200,7 +232,10 @@ def _totals(shared) -> Callable:
                     total += np.bincount(at[ok], minlength=len(total))
                     breaks += np.bincount(at[ok & brk], minlength=len(total))
         some = np.flatnonzero(total)
-        rows = [(f"label:{k}", v, 0) for k, v in labels.items() if k in model.labels] + [(f"cap:{k}", v, heads[k]) for k, v in caps.items()]
+        known: Counter = Counter()
+        for k, v in labels.items():
+            known[shape(k)] += v
+        rows = [(f"label:{k}", v, 0) for k, v in known.items() if k in model.labels] + [(f"cap:{k}", v, heads[k]) for k, v in caps.items()]
         yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in some] + [r[0] for r in rows], pa.string()), pa.array([*total[some].tolist(), *[r[1] for r in rows]], pa.int64()), pa.array([*breaks[some].tolist(), *[r[2] for r in rows]], pa.int64())], names=["name", "n", "m"])
 
     return work
@@ -255,7 +290,7 @@ def judge(text: str | None, clean: str | None, ty: int, model: Model) -> tuple[i
         return WHOLE, None, None, True, False, True
     on = goes_on(clean[:200], model.starts)
     body, marked = open_end(clean)
-    s = shape(body)
+    s = tail_shape(body)
     if not s or s[-1] in _FINAL:
         return CUT if marked and s and s[-1] not in _STOP and text.rstrip()[-1:] == "�" else WHOLE, None, None, True, on, False
     if marked:
@@ -293,11 +328,7 @@ def fit(elements: DataFrame) -> Model:
             model.starts[name[4:]] = m / n
         else:
             model.total[int(name)], model.breaks[int(name)] = n, m
-    some = elements.where("id is not null and content is not null and type is not null").withColumn("h", F.xxhash64("id"))
-    picked = []
-    for kind in (["page_header", "page_footer"], ["section_header"], ["text", "list_item", "footnote", "caption", "table"]):
-        picked += [(r[0], r[1]) for r in some.where(F.col("type").isin(kind)).orderBy("h").limit(SAMPLE).select("type", "content").collect()]
-    model.furniture = train_furniture(picked)
+    model.furniture = train_furniture(sample_lines(elements))
     return model
 
 
