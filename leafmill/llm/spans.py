@@ -121,7 +121,7 @@ def shared_spans(reps: DataFrame, min_len: int, exact_ends: bool) -> DataFrame:
     sure, open_ends = (spans.where(F.lit(False)), spans) if exact_ends else (spans.where(F.col("n") >= min_len), spans.where(F.col("n") < min_len))
     ta = reps.select(F.col("rid").alias("t_a"), F.col("text").alias("xa"))
     tb = reps.select(F.col("rid").alias("t_b"), F.col("text").alias("xb"))
-    reach = 10 * SLACK if exact_ends else min_len
+    reach = SLACK  # cut tokens at the ends of a span hide less than this on either side
     o = open_ends.join(ta, F.col("rid_a") == F.col("t_a"))
     cut_out = lambda x, s: [F.substring(x, F.greatest(s - reach, F.lit(0)) + 1, F.least(s, F.lit(reach))), F.substring(x, s + F.col("n") + 1, F.lit(reach))]
     la, ra = cut_out(F.col("xa"), F.col("a0"))
