@@ -167,6 +167,33 @@ def reading_cost(true: str, read: str) -> tuple[float, int]:
     return d[n][m]
 
 
+_UNDO: dict[str, list[tuple[str, str]]] = {}
+for _true, _read in CONFUSIONS:
+    _UNDO.setdefault(_read[0], []).append((_true, _read))
+
+
+class Origins:
+    """The true words, with their counts, that a form may be a reading of; forms are walked along the prefixes of true words."""
+
+    def __init__(self, words: dict[str, int]):
+        self.words, self.prefixes = words, None
+
+    def of(self, form: str) -> list[str]:
+        """Every word that confusions alone turn into the form, however many and wherever they are."""
+        if self.prefixes is None:
+            self.prefixes = {w[:k] for w in self.words for k in range(1, len(w) + 1)}
+        seen, todo = {("", 0)}, [("", 0)]
+        while todo:
+            true, at = todo.pop()
+            if at == len(form):
+                continue
+            for a, b in ((form[at], form[at]), *_UNDO.get(form[at], ())):
+                if (to := (true + a, at + len(b))) not in seen and to[0] in self.prefixes and form.startswith(b, at):
+                    seen.add(to)
+                    todo.append(to)
+        return sorted(t for t, at in seen if at == len(form) and t != form and t in self.words)
+
+
 def word_features(read: str, n_read: int, true: str, n_true: int) -> list[float]:
     cost, foreign = reading_cost(true, read)
     q = lambda w: Counter(f"^{w}$"[k : k + 2] for k in range(len(w) + 1))
@@ -265,6 +292,16 @@ def _counted(c: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([c[w] for w in kept], pa.int64())], names=["word", "n"])
 
 
+def _undo(shared) -> Callable:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        origins: Origins = shared.value
+        for b in batches:
+            rows = [(w, n, c, origins.words[c]) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for c in origins.of(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["word", "n", "c_word", "c_n"])
+
+    return work
+
+
 def _rank(model: Boosted) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -351,14 +388,11 @@ def fit(elements: DataFrame) -> tuple[Reader, DataFrame]:
     lexicon = {r[0]: r[1] for r in counts.where(F.col("n") >= least).toLocalIterator()}
     small = {w: n for w, n in lexicon.items() if n >= 4 * least} or lexicon
     ranker = train_words(small)
-    gram = lambda w: F.array(F.concat(F.lit("^"), F.left(w, F.when(F.length(w) < 6, 2).otherwise(3))), F.concat(F.right(w, F.when(F.length(w) < 6, 2).otherwise(3)), F.lit("$")))
-    both = lambda w: F.array_union(gram(w), F.array(F.concat(F.lit("^"), F.left(w, F.lit(2))), F.concat(F.right(w, F.lit(2)), F.lit("$"))))
-    seek = counts.where(F.length("word").between(2, 40)).select("word", "n", F.explode(gram(F.col("word"))).alias("g"))
-    given = counts.where((F.col("n") >= least) & F.length("word").between(2, 40) & ~F.col("word").rlike("[0-9!]")).select(F.col("word").alias("c_word"), F.col("n").alias("c_n"), F.explode(both(F.col("word"))).alias("c_g"))
+    origins = elements.sparkSession.sparkContext.broadcast(Origins({w: n for w, n in lexicon.items() if len(w) > 1 and not re.search("[0-9!]", w)}))
     seldom = (F.col("c_n") >= F.col("n") * RATIO) & (F.col("n") <= 2 + F.col("c_n") * SHARE)
-    near = (F.abs(F.length("word") - F.length("c_word")) <= 2) & seldom & (F.col("word") != F.col("c_word"))
-    pairs = seek.join(given, (F.col("g") == F.col("c_g")) & near).where(F.expr("levenshtein(word, c_word, 4) >= 0")).select("word", "n", "c_word", "c_n").distinct()
-    ranked = pairs.mapInArrow(_rank(ranker), "word string, correct string, score double").where("score > 0")
+    near = (F.abs(F.length("word") - F.length("c_word")) <= 2) & seldom & F.expr("levenshtein(word, c_word, 4) >= 0")
+    pairs = counts.mapInArrow(_undo(origins), "word string, n bigint, c_word string, c_n bigint").where(near)
+    ranked = pairs.mapInArrow(_rank(ranker), "word string, correct string, score double").where("score > 0.01")  # even evidence, as for short forms without a digit, is none
     misread = cut(ranked.groupBy("word").agg(F.max(F.struct("score", "correct")).alias("m")).select("word", F.col("m.correct").alias("correct")))
     for r in misread.join(counts.where(F.col("n") >= least).select("word"), "word", "left_semi").toLocalIterator():
         lexicon.pop(r[0], None)  # at most the lexicon's own size

@@ -100,6 +100,20 @@ def test_damaged(spark, corpus):
     assert damaged(elements(spark, rows).limit(0)).count() == 0
 
 
+def test_every_single_misreading_meets_its_word(spark, corpus):
+    from leafmill.llm.scans import CONFUSIONS, Origins, repaired
+
+    origins = Origins({w: 9 for w in (*WORDS, "shows", "holds", "meets", "finds", "không", "index", "the", "of", "in")})
+    for w in origins.words:
+        for a, b in CONFUSIONS:
+            for m in re.finditer(re.escape(a), w):
+                assert w in origins.of(w[: m.start()] + b + w[m.end() :])
+    assert origins.of("window") == [] and origins.of("") == []
+    rows = [*corpus[0], ("six", "text", "The window sliows a letter and the planet firids every circle.", 50, 100, "doc99")]
+    fixed = {r.id: r.repaired for r in repaired(elements(spark, rows)).collect()}
+    assert fixed["six"] == "The window shows a letter and the planet finds every circle."
+
+
 def test_truncated(spark, corpus):
     from leafmill.llm.truncation import by_source, judged
 
