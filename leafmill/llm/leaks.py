@@ -1,10 +1,9 @@
-"""Evaluation passages inside training documents: rare n-gram seeds, then Smith-Waterman alignment.
+"""Evaluation passages inside training documents: exact filters, then Smith-Waterman alignment.
 
-Words are runs of letters and digits without case. First pass: how many documents hold each n-gram of the evaluation
-items. Seeds are, for every stretch of ``run`` words of an item, its rarest n-gram (so that a verbatim stretch cannot be
-missed), and besides every n-gram in at most ``rare`` documents (for edited copies). Second pass: a document that
-holds a seed of an item is aligned with that item, word by word, in the passage around its seeds. Documents stream
-through Arrow partitions and are never shuffled; what is shuffled are n-gram counts, at most one per task and n-gram.
+Words are runs of letters and digits without case. A document is aligned with an item, word by word, only if one of two
+conditions holds that no reported pair can fail, whatever other documents hold: as many shared n-grams on one diagonal
+as ``run`` equal words have, or a stretch in which the words that the item knows outweigh the others by as much as an
+alignment of ``min_share`` needs. Documents stream through Arrow partitions once and are never shuffled.
 
 The items travel with the tasks. They are a test set of fixed size; ``max_item_words`` is checked and, beyond it, the items
 are worked off in blocks of that many words, each block against all documents.
@@ -15,6 +14,7 @@ rows give one result; a null id gives none; empty tables give no rows; texts are
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,6 +48,32 @@ def grams(ids: np.ndarray, n: int) -> np.ndarray:
     return np.where(ok, h | np.uint64(1), np.uint64(0))
 
 
+class Held:
+    """Inverted lists: which sequences hold a value, and how often."""
+
+    def __init__(self, seqs: list[np.ndarray]):
+        self.n = len(seqs)
+        pairs = [np.unique(v, return_counts=True) for v in seqs]
+        values = np.concatenate([v for v, _ in pairs]) if pairs else np.empty(0, np.int64)
+        order = np.argsort(values, kind="stable")
+        self.owner = np.repeat(np.arange(self.n), [len(v) for v, _ in pairs])[order]
+        self.times = np.concatenate([c for _, c in pairs])[order] if pairs else values
+        self.values, self.first = np.unique(values[order], return_index=True)
+        self.size = np.diff(np.append(self.first, len(values)))
+
+    def common(self, part: np.ndarray) -> np.ndarray:
+        """For each sequence how many of its values occur in the part; never fewer than an alignment can match."""
+        if not len(part) or not len(self.values):
+            return np.zeros(self.n)
+        at = np.minimum(np.searchsorted(self.values, part), len(self.values) - 1)
+        there = np.zeros(len(self.values), bool)
+        there[at[self.values[at] == part]] = True
+        at = np.flatnonzero(there)
+        size, first = self.size[at], self.first[at]
+        take = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.owner[take], self.times[take], self.n)
+
+
 class Items:
     """The evaluation items as word numbers, with the items and places of each n-gram."""
 
@@ -65,17 +91,72 @@ class Items:
         get = self.vocab.get
         return np.array([get(w, -1) for w in words(text)], np.int64)
 
-    def seeds(self, held: dict[int, int], run: int, rare: int) -> "Items":
-        keep = {g for g in self.at if held.get(g, 0) <= rare}
-        for ids in self.seqs.values():
-            g = grams(ids, self.n).tolist()
-            width = max(1, run - self.n + 1)
-            for a in range(max(1, len(g) - width + 1)):
-                if stretch := g[a : a + width]:
-                    keep.add(min(stretch, key=lambda x: (held.get(x, 0), x)))
-        self.known = np.array(sorted(keep), np.uint64)
+    def bounds(self, min_share: float) -> "Items":
+        """What an alignment of the share needs: points, matched words, and the most words of a document it can span."""
+        self.names, self.masks = list(self.seqs), {}
+        size = np.array([len(v) for v in self.seqs.values()], np.int64)
+        self.points = MATCH * size * (min_share - 1e-6)  # shares are rounded to six places
+        self.needed = np.where(size < self.n, np.inf, self.points / MATCH)
+        # matched words are at most the item's, and each other word costs a point
+        self.spans = np.maximum(1, np.ceil(size + MATCH * size - self.points)).astype(np.int64)
+        self.width = int(self.spans.max(initial=1))
+        self.own = [np.unique(v) for v in self.seqs.values()]
+        self.held = Held(list(self.seqs.values())), Held([grams(v, 2) for v in self.seqs.values()])
         return self
 
+    def in_order(self, i: int, part: list[int]) -> int:
+        """The longest common subsequence of an item and a part, bit by bit: no alignment matches more words."""
+        if i not in self.masks:
+            at: dict[int, int] = {}
+            for k, w in enumerate(self.seqs[self.names[i]].tolist()):
+                at[w] = at.get(w, 0) | 1 << k
+            self.masks[i] = at
+        at, size = self.masks[i], len(self.seqs[self.names[i]])
+        row = full = (1 << size) - 1
+        for w in part:
+            u = row & at[w]
+            row = ((row + u) | (row - u)) & full
+        return size - row.bit_count()
+
+    def stretches(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """By item the stretches of a document outside of which no alignment can reach the share."""
+        out: dict[int, list[tuple[int, int]]] = {}
+        mark = np.zeros(len(self.vocab) + 1, bool)  # the last place is that of unknown words, -1
+        for start in range(0, max(1, len(ids) - self.width), self.width):
+            part = ids[start : start + 2 * self.width]
+            common = self.held[0].common(part)
+            if not (common >= self.needed).any():
+                continue
+            # m matched words, p pairs of them adjacent on both sides: at least m - p - 1 other words lie between
+            both = common + self.held[1].common(grams(part, 2)) + 1
+            for i in np.flatnonzero((common >= self.needed) & (both >= self.points)).tolist():
+                mark[self.own[i]] = True
+                known = mark[part]
+                mark[self.own[i]] = False
+                total = np.concatenate(([0], np.cumsum(np.where(known, MATCH, GAP))))
+                span, whole = int(self.spans[i]), []
+                for e in np.flatnonzero(total - _lowest(total, span + 1) >= self.points[i]).tolist():
+                    a = max(0, e - span)
+                    if whole and a <= whole[-1][1]:
+                        whole[-1] = (whole[-1][0], e)
+                    else:
+                        whole.append((a, e))
+                for a, b in whole:
+                    m = self.in_order(i, part[a:b][known[a:b]].tolist())
+                    if min(MATCH * m, m + both[i] - common[i]) >= self.points[i]:
+                        out.setdefault(self.names[i], []).append((start + a, start + b))
+        return out
+
+
+def _lowest(v: np.ndarray, k: int) -> np.ndarray:
+    """The least of the ``k`` values up to each place."""
+    if len(v) <= k:
+        return np.minimum.accumulate(v)
+    most = v.max()
+    rows = np.concatenate((np.full(k - 1, most), v, np.full(-(len(v) + k - 1) % k, most))).reshape(-1, k)
+    up, down = np.minimum.accumulate(rows, 1).ravel(), np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
+    return np.minimum(down[: len(v)], up[k - 1 : k - 1 + len(v)])
+
 
 def _hits(ids: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
     g = grams(ids, items.n)
@@ -119,6 +200,16 @@ def _passages(spots: list[tuple[int, int]], length: int, total: int) -> list[tup
     return [(a, b) for a, b in out]
 
 
+def _merged(passages: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(passages):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -126,20 +217,7 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
                 yield i, t
 
 
-def _count(items: Items) -> Callable:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(len(items.known), np.int64)
-        for _, text in _each(batches):
-            at, g = _hits(items.numbers(text), items)
-            if len(at):
-                held[np.searchsorted(items.known, np.unique(g[at]))] += 1
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(items.known[some].view(np.int64)), pa.array(held[some])], names=["gram", "n"])
-
-    return work
-
-
-def _leaks(items: Items, min_share: float) -> Callable:
+def _leaks(items: Items, run: int, edited: bool = True) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc, text in _each(batches):
@@ -149,10 +227,13 @@ def _leaks(items: Items, min_share: float) -> Callable:
             for p in at.tolist():
                 for item, pos in items.at[int(g[p])]:
                     spots.setdefault(item, []).append((p, pos))
-            for item, found in spots.items():
-                seq = items.seqs[item]
+            near = items.stretches(ids) if edited else {}
+            for item in {*spots, *near}:
+                seq, found = items.seqs[item], spots.get(item, [])
+                if item not in near and max(Counter(p - pos for p, pos in found).values()) < run - items.n + 1:
+                    continue
                 score = longest = 0
-                for a, b in _passages(found, len(seq), len(ids)):
+                for a, b in _merged(_passages(found, len(seq), len(ids)) + near.get(item, [])):
                     s, r = align(seq, ids[a:b])
                     score, longest = max(score, s), max(longest, r)
                 rows.append((doc, item, score, round(score / (MATCH * len(seq)), 6), longest))
@@ -161,10 +242,11 @@ def _leaks(items: Items, min_share: float) -> Callable:
     return work
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, run: int = 16, n: int = 5, rare: int = 25, min_share: float = 0.5, max_item_words: int = 1_000_000) -> DataFrame:
+def leaks(documents: DataFrame, eval_items: DataFrame, run: int = 16, n: int = 5, min_share: float = 0.5, max_item_words: int = 1_000_000, edited: bool = True) -> DataFrame:
     """Documents with the items that leaked into them: alignment score, its share of a full copy, longest verbatim run.
 
     A pair is reported if the run is at least ``run`` words or the alignment reaches ``min_share`` of a full copy.
+    Without ``edited`` only pairs with such a run are looked for.
     """
     docs = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     rows = [(r[0], r[1]) for r in eval_items.select("item_id", "text").where("item_id is not null and text is not null").distinct().orderBy("item_id", "text").toLocalIterator()]
@@ -179,9 +261,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame, run: int = 16, n: int = 5
     out = None
     for part in parts:
         items = Items(part, n)
-        counts = docs.mapInArrow(_count(items), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-        held = {r[0] & 0xFFFFFFFFFFFFFFFF: r[1] for r in counts.collect()}
-        found = docs.mapInArrow(_leaks(items.seeds(held, run, rare), min_share), "doc_id bigint, item_id bigint, score int, share double, longest_run int")
+        found = docs.mapInArrow(_leaks(items.bounds(min_share), run, edited), "doc_id bigint, item_id bigint, score int, share double, longest_run int")
         out = found if out is None else out.unionByName(found)
     out = out.where((F.col("longest_run") >= run) | (F.col("share") >= min_share))
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("share").alias("share"), F.max("longest_run").alias("longest_run"))

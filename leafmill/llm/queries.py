@@ -95,7 +95,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items with which they have at least 16 consecutive words in common."""
     from leafmill.llm.leaks import leaks
 
-    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), edited=False)
     return found.where("longest_run >= 16").select("doc_id", "item_id")
 
 

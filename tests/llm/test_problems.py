@@ -250,6 +250,22 @@ def test_leaks(spark):
     assert leaks(ddf.limit(0), idf).count() == 0 and leaks(ddf, idf.limit(0)).count() == 0
 
 
+def test_edited_copies_are_found_however_many_there_are(spark):
+    from leafmill.llm.leaks import Items, align, leaks
+
+    r = random.Random(5)
+    item = [r.choice("abcdefghij") + str(r.randint(0, 30)) for _ in range(60)]
+    edited = lambda step: " ".join(f"x{r.randint(0, 999)}" if k % step == step - 1 else w for k, w in enumerate(item))
+    other = lambda n: " ".join(r.choice(item[:20] + ["y", "z"] * 10) for _ in range(n))
+    docs = [(k, f"{other(200)} {edited(8)} {other(50)}") for k in range(40)] + [(100, f"{other(90)} {edited(4)}"), (101, other(400))]
+    ddf, idf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    items = Items([(1, " ".join(item))], 5)
+    want = {d for d, t in docs if align(items.seqs[1], items.numbers(t))[0] / 120 >= 0.5}
+    got = leaks(ddf, idf).collect()
+    assert {x.doc_id for x in got} == want == {*range(40), 100}
+    assert all(x.score == align(items.seqs[1], items.numbers(dict(docs)[x.doc_id]))[0] for x in got)
+
+
 # ---- 9 mixing
 
 
