@@ -137,18 +137,27 @@ def rerank(ranked: DataFrame, score: Column) -> DataFrame:
     return scored.withColumn("old", F.col("rank")).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rerank_score"), "old", "doc_id"))).drop("old")
 
 
-def greedy_budget(ranked: DataFrame, s: Settings = DEFAULT, compat: Compat = Compat(), limit: int = 1000) -> DataFrame:
+def greedy_budget(ranked: DataFrame, s: Settings = DEFAULT, compat: Compat = Compat()) -> DataFrame:
     """Rows (query_id, rank, doc_id, text, n_images) that fit the token budget in rank order; what does not fit is passed over.
 
-    Lists come from a top-k (30 or 20 entries); ``limit`` guards against lists that do not.
+    Lists of any length stream through sorted Arrow partitions; only the budget used so far is carried from row to row.
     """
     images = F.lit(0) if compat.free_images else F.coalesce(F.col("n_images"), F.lit(0)) * s.image_token_estimate
     cost = X.token_count(F.coalesce(F.col("text"), F.lit(""))) + images
-    lists = ranked.where(F.col("rank") <= limit).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", cost.cast("int").alias("tokens")))).alias("l"))
-    start = F.struct(F.lit(0).alias("used"), F.expr("cast(array() as array<struct<rank:int,doc_id:string,tokens:int>>)").alias("kept"))
-    entry = lambda x: F.struct(x["rank"].cast("int").alias("rank"), x["doc_id"].cast("string").alias("doc_id"), x["tokens"].alias("tokens"))
-    fold = F.aggregate("l", start, lambda a, x: F.when(a["used"] + x["tokens"] <= s.token_budget, F.struct((a["used"] + x["tokens"]).alias("used"), F.concat(a["kept"], F.array(entry(x))).alias("kept"))).otherwise(a))
-    return lists.select("query_id", F.explode(fold["kept"]).alias("k")).select("query_id", "k.rank", "k.doc_id", "k.tokens")
+    rows = ranked.where("rank is not null").select("query_id", F.col("rank").cast("int").alias("rank"), F.col("doc_id").cast("string").alias("doc_id"), cost.cast("int").alias("tokens"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, used = None, 0
+        for b in batches:
+            keep = []
+            for q, n in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if q != query:
+                    query, used = q, 0
+                keep.append(used + n <= s.token_budget)
+                used += n if keep[-1] else 0
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return rows.repartition("query_id").sortWithinPartitions("query_id", "rank", "doc_id", "tokens").mapInArrow(work, rows.schema)
 
 
 def intent_route(nearest: DataFrame, routes: DataFrame, s: Settings = DEFAULT, fallback: str = "need_retrieve") -> DataFrame:

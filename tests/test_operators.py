@@ -139,6 +139,12 @@ def test_budget(spark):
     assert R.greedy_budget(rows.limit(0)).count() == 0
 
 
+def test_budget_of_long_lists(spark):
+    rows = [(q, k, f"d{k}", "x" * int((1900 if k == 1 else 300) * 3.56 + 1) if k < 1500 else None, 0) for q in (1, 2) for k in range(1, 1700)]
+    got = R.greedy_budget(spark.createDataFrame(rows, "query_id long, rank int, doc_id string, text string, n_images int"))
+    assert sorted((r.query_id, r["rank"]) for r in got.collect()) == [(q, k) for q in (1, 2) for k in (1, *range(1500, 1600))]
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.4, 0.9165151]), (2, [0.39, 0.9208149]), (3, [0.0, 0.0]), (4, None)], "vec_id long, embedding array<float>")
     got = {(r.vec_id, r.rank) for r in R.vector_search(v.where("vec_id = 0").withColumnRenamed("vec_id", "query_id"), v).collect()}
