@@ -11,8 +11,9 @@ from leafmill.runtime import table
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every retrieved chunk once, with its text."""
-    return table(spark, sf_dir, "hits").where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
+    """Every retrieved chunk once, with its text and number of images."""
+    r = F.max(F.struct("text", F.coalesce("metadata.images", F.array().cast("array<string>")).alias("images"))).alias("r")
+    return table(spark, sf_dir, "hits").where("doc_id is not null and text is not null").groupBy("doc_id").agg(r).select("doc_id", "r.text", F.size("r.images").alias("n_images"))
 
 
 def question_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,5 +146,5 @@ def hybrid_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = near.join(c.select("vec_id", "doc_id"), "vec_id").select("query_id", F.lit("vector").alias("list"), "rank", "doc_id")
     found = R.text_search(asked.select("query_id", F.col("question").alias("text")), R.postings(c)).select("query_id", F.lit("bm25").alias("list"), "rank", "doc_id")
     fused = R.rrf_merge(near.unionByName(found), {"vector": 0.75, "bm25": 0.25})
-    rows = fused.join(c.select("doc_id", "text"), "doc_id").join(asked.select("query_id", "question"), "query_id").withColumn("n_images", F.lit(0))
+    rows = fused.join(c.select("doc_id", "text", "n_images"), "doc_id").join(asked.select("query_id", "question"), "query_id")
     return R.greedy_budget(R.rerank(rows, R.overlap_score(F.col("question"), F.col("text"))))

@@ -145,6 +145,15 @@ def test_budget_of_long_lists(spark):
     assert sorted((r.query_id, r["rank"]) for r in got.collect()) == [(q, k) for q in (1, 2) for k in (1, *range(1500, 1600))]
 
 
+def test_pipeline_charges_images(spark, tmp_path):
+    from leafmill.plans.search import hybrid_pipeline
+
+    spark.createDataFrame([(20, "what is alpha")], "query_id long, question string").write.parquet(str(tmp_path / "questions.parquet"))
+    rows = [(20, "bm25", k + 1, f"d{k}", f"alpha is number {k}", (["i"] * 4,)) for k in range(3)]
+    spark.createDataFrame(rows, "query_id long, retriever string, rank int, doc_id string, text string, metadata struct<images:array<string>>").write.parquet(str(tmp_path / "hits.parquet"))
+    assert [r.tokens for r in hybrid_pipeline(spark, str(tmp_path)).collect()] == [1204]
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.4, 0.9165151]), (2, [0.39, 0.9208149]), (3, [0.0, 0.0]), (4, None)], "vec_id long, embedding array<float>")
     got = {(r.vec_id, r.rank) for r in R.vector_search(v.where("vec_id = 0").withColumnRenamed("vec_id", "query_id"), v).collect()}
