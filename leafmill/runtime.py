@@ -19,12 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def measured_broadcasts(spark: SparkSession) -> None:
+    """Let joins be broadcast only by sizes measured while the query runs.
+
+    Estimates made before that take a text column for twenty bytes and know nothing of exploded rows, so the static threshold
+    is switched off and its value becomes the adaptive one, which looks at the shuffled bytes of a side.
+    """
+    static, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    if (most := spark.conf.get(static)) != "-1":
+        if spark.conf.get(adaptive, None) is None:
+            spark.conf.set(adaptive, most)
+        spark.conf.set(static, "-1")
+
+
 def ensure_shipped(spark: SparkSession) -> None:
-    """Send the package to the executors unless they find it on their own path.
+    """Make a session ready: broadcasts by measure, and the package on the executors unless they find it on their own path.
 
     Python workers import operators by module name. Where the repository is on ``PYTHONPATH`` or is the working
     directory nothing is sent; otherwise the package goes out once per context as a zip through ``addPyFile``.
     """
+    measured_broadcasts(spark)
     parent = str(_ROOT.parent)
     sc = spark.sparkContext
     if parent in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == parent or getattr(sc, "_leafmill_sent", False):
@@ -38,11 +52,13 @@ def ensure_shipped(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one is made only where that setting is absent."""
+    """The shared folder of ``spark.checkpoint.dir``; a folder of this machine is made only for a local master without that setting."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not shared and not (sc.master or "").startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="leafmill-ckpt-"))
     return shared or sc._jsc.sc().getCheckpointDir().get()
 
@@ -53,6 +69,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def merged(a: DataFrame, b: DataFrame, on: Column | str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two sides that grow with the data: both are shuffled, whatever the planner believes their sizes to be."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def latest_by_id(df: DataFrame, key: str, order: list[str], keep: list[str]) -> DataFrame:
     """One row per ``key``: the one with the greatest ``order`` columns, nulls first. Map-side combined.
 
