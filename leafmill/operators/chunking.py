@@ -1,7 +1,8 @@
 """Chunk builders: blocks, assembled text, the semantic packer, fixed windows, recursive and by-title splitting.
 
-Sequential folds run over sorted rows in Arrow groups. A group is one block of one node, cut after ``STRETCH`` elements, so a
-document or block of any size never comes into one task as a whole.
+Sequential folds run over sorted rows in Arrow groups. A group is one block of one node. A block that spans more than
+``STRETCH`` places is cut there, counted from the block's own start, so a document or block of any size never comes into
+one task as a whole, and the chunks of a document do not depend on where its places begin.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.config import DEFAULT, Compat, Settings
 from leafmill.functions.text import DANGLING
 from leafmill.operators.folds import in_groups
+from leafmill.operators.hierarchy import last_before
 
 STRETCH = 4096
 
@@ -94,15 +96,20 @@ def split_text(text: str, s: Settings = DEFAULT, compat: Compat = Compat()) -> l
 # ---- hierarchical-semantic chunks -----------------------------------------------------------------------------------------
 
 
-def block_numbers(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Running number of headings outside the table of contents, summed over stretches of places so that groups may be large."""
-    new = F.when((F.col("type") == "section_header") & (F.col("heading_type") == "nottoc"), 1).otherwise(0)
-    r = rows.withColumn("_o", F.coalesce("atomic_order", F.lit(0))).withColumn("_s", F.floor(F.col("_o") / STRETCH)).withColumn("_new", new)
+def block_numbers(rows: DataFrame, group: list[str], begins: Column | None = None) -> DataFrame:
+    """Running number of headings outside the table of contents, or of the rows that ``begins`` marks, and the ``stretch`` of
+    its block in which a row lies. Sums and starts are carried over stretches of places, so groups may be large."""
+    if begins is None:
+        begins = (F.col("type") == "section_header") & (F.col("heading_type") == "nottoc")
+    r = rows.withColumn("_o", F.coalesce("atomic_order", F.lit(0))).withColumn("_s", F.floor(F.col("_o") / STRETCH)).withColumn("_new", F.coalesce(begins, F.lit(False)).cast("int"))
+    at = F.when(F.col("_new") == 1, F.col("_o"))
     inside = W.partitionBy(*group, "_s").orderBy("_o", "id").rowsBetween(W.unboundedPreceding, 0)
-    sums = r.groupBy(*group, "_s").agg(F.sum("_new").alias("_n"))
-    carried = sums.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    out = r.withColumn("_in", F.sum("_new").over(inside)).join(carried, [*group, "_s"])
-    return out.select(*rows.columns, (F.col("_in") + F.col("_before")).alias("block"))
+    before = W.partitionBy(*group).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    sums = r.groupBy(*group, "_s").agg(F.sum("_new").alias("_n"), F.max(at).alias("_at"), F.min("_o").alias("_lo"))
+    carried = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_from", F.last("_at", ignorenulls=True).over(before)).withColumn("_first", F.min("_lo").over(W.partitionBy(*group))).drop("_n", "_at", "_lo")
+    out = r.withColumn("_in", F.sum("_new").over(inside)).withColumn("_start", F.last(at, ignorenulls=True).over(inside)).join(carried, [*group, "_s"])
+    stretch = F.floor((F.col("_o") - F.coalesce("_start", "_from", "_first")) / STRETCH)
+    return out.select(*rows.columns, (F.col("_in") + F.col("_before")).alias("block"), stretch.alias("stretch"))
 
 
 def assemble(units: list[dict], compat: Compat = Compat()) -> tuple[str, list[str]]:
@@ -204,7 +211,7 @@ def semantic_chunks(units: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """
     units = units.withColumn("atomic_order", F.coalesce("atomic_order", F.lit(0)))
     small = units.where("fits").withColumn("block", F.lit(0).cast("bigint")).withColumn("stretch", F.lit(0).cast("bigint"))
-    large = block_numbers(units.where("not fits"), ["doc_id", "top"]).withColumn("stretch", F.floor(F.col("atomic_order") / STRETCH))
+    large = block_numbers(units.where("not fits"), ["doc_id", "top"])
     return in_groups(small.unionByName(large), ["doc_id", "top", "block", "stretch"], ["atomic_order", "id"], lambda rows: _chunks_of(rows, s), _CHUNK)
 
 
@@ -302,13 +309,23 @@ def recursive_chunks(docs: DataFrame, size: int = 2136, overlap: int = 285) -> D
 
 
 def title_chunks(rows: DataFrame, most: int = 3000, soft: int = 2400, combine: int = 500) -> DataFrame:
-    """(doc_id, section, k, text): elements between titles, joined to chunks of about ``soft`` and at most ``most`` characters.
+    """(doc_id, block, stretch, section, k, text): elements between titles, joined to chunks of about ``soft`` and at most ``most`` characters.
 
-    Sections shorter than ``combine`` are joined with the next. ``rows``: (doc_id, id, atomic_order, type, content). A section of
-    more than STRETCH places is cut there.
+    Sections shorter than ``combine`` are joined with the next. ``rows``: (doc_id, id, atomic_order, type, content). A block begins at a
+    title that surely begins a section, since ``combine`` characters stand between it and the title before; blocks are folded
+    by themselves, cut after STRETCH places.
     """
-    titles = F.when(F.col("type") == "section_header", 1).otherwise(0)
-    r = rows.where(F.col("content").isNotNull() & F.col("doc_id").isNotNull()).withColumn("title", titles).withColumn("stretch", F.floor(F.coalesce("atomic_order", F.lit(0)) / STRETCH))
+    r = rows.where(F.col("content").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "id", F.coalesce("atomic_order", F.lit(0)).alias("atomic_order"), (F.col("type") == "section_header").alias("title"), "content")
+    r = r.withColumn("title", F.coalesce("title", F.lit(False)))
+    # characters up to each row, carried over stretches of places; at a title, those since the title before
+    flow = r.select("doc_id", "id", F.col("atomic_order").alias("o"), "title", F.length("content").cast("bigint").alias("n")).withColumn("s", F.floor(F.col("o") / STRETCH))
+    inside = W.partitionBy("doc_id", "s").orderBy("o", "id").rowsBetween(W.unboundedPreceding, 0)
+    sums = flow.groupBy(F.col("doc_id").alias("b_doc"), F.col("s").alias("b_s")).agg(F.sum("n").alias("m"))
+    sums = sums.select("b_doc", "b_s", F.coalesce(F.sum("m").over(W.partitionBy("b_doc").orderBy("b_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("b4"))
+    upto = flow.withColumn("in", F.sum("n").over(inside)).join(sums, (F.col("doc_id") == F.col("b_doc")) & (F.col("s") == F.col("b_s"))).select("doc_id", "id", "o", "title", (F.col("in") + F.col("b4") - F.col("n")).alias("before"))
+    titles = last_before(upto.where("title").withColumn("mine", F.col("before")), "doc_id", "mine", "last")
+    sure = titles.where(F.col("before") - F.coalesce("last", F.lit(0)) >= combine).select(F.col("id").alias("t_id"), F.lit(True).alias("sure"))
+    blocks = block_numbers(r.join(sure, F.col("id") == F.col("t_id"), "left").drop("t_id"), ["doc_id"], F.col("sure"))
 
     def work(units: list[dict]) -> list[tuple]:
         sections: list[list[str]] = [[]]
@@ -327,7 +344,6 @@ def title_chunks(rows: DataFrame, most: int = 3000, soft: int = 2400, combine: i
                     now = f"{now}\n\n{p}" if now else p
             if now.strip():
                 out.append((sec, k, now))
-        return [(units[0]["doc_id"], units[0]["stretch"], *x) for x in out]
+        return [(units[0]["doc_id"], units[0]["block"], units[0]["stretch"], *x) for x in out]
 
-    cols = r.select("doc_id", "id", F.coalesce("atomic_order", F.lit(0)).alias("atomic_order"), "title", "content", "stretch")
-    return in_groups(cols, ["doc_id", "stretch"], ["atomic_order", "id"], work, "doc_id string, stretch bigint, section int, k int, text string")
+    return in_groups(blocks.drop("sure"), ["doc_id", "block", "stretch"], ["atomic_order", "id"], work, "doc_id string, block bigint, stretch bigint, section int, k int, text string")

@@ -107,6 +107,18 @@ def running_last(df: DataFrame, group: str, order: str, value: str, out: str, st
     return joined.select(*df.columns, F.coalesce("_in", "_before").alias(out))
 
 
+def last_before(df: DataFrame, group: str, value: str, out: str, stretch: int = 4096) -> DataFrame:
+    """The last non-null ``value`` strictly before each row in the order of (o, id), carried over stretches of places as above."""
+    rows = df.withColumn("_s", F.floor(F.col("o") / stretch))
+    inside = W.partitionBy(group, "_s").orderBy("o", "id").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.last(value, ignorenulls=True).over(inside))
+    ends = rows.groupBy(group, "_s").agg(F.max(F.when(F.col(value).isNotNull(), F.struct("o", "id", value))).alias("_e"))
+    across = W.partitionBy(group).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(F.col(group).alias("_g"), F.col("_s").alias("_t"), F.last(f"_e.{value}", ignorenulls=True).over(across).alias("_before"))
+    joined = rows.join(ends, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_s") == F.col("_t")), "left")
+    return joined.select(*df.columns, F.coalesce("_in", "_before").alias(out))
+
+
 def subtree_tokens(nodes: DataFrame, own: DataFrame) -> DataFrame:
     """(doc_id, pre, own_tokens, token_count): each node's tokens and those of its subtree, as a difference of running sums."""
     rows = nodes.join(own, ["doc_id", "pre"], "left").withColumn("own_tokens", F.coalesce("own_tokens", F.lit(0)).cast("bigint"))

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.operators.chunking import STRETCH, incomplete, tokens
-from leafmill.operators.folds import in_groups
+from leafmill.functions import text as X
+from leafmill.operators.chunking import incomplete, tokens
+from leafmill.operators.hierarchy import last_before
 
 OUT = "id string, doc_id string, atomic_order int, type string, content string, token_count int, n_joined int"
 
@@ -53,17 +54,26 @@ def _rows(done: list[dict], doc: str) -> pd.DataFrame:
 
 
 def stitch(elements: DataFrame) -> DataFrame:
-    """The batch form, over stretches of a document; a stretch may only end where the next element is a heading or far away."""
-    rows = elements.where("doc_id is not null and id is not null").select("id", "doc_id", F.coalesce("atomic_order", F.lit(0)).cast("int").alias("atomic_order"), F.coalesce("type", F.lit("")).alias("type"), "content")
-    rows = rows.withColumn("stretch", F.floor(F.col("atomic_order") / STRETCH))
+    """The batch form, without a fold: a text goes on with the text before it, of the same heading, if that one is cut.
 
-    def work(units: list[dict]) -> list[tuple]:
-        buf = Buffer()
-        for e in units:
-            buf.add({k: e[k] for k in ("id", "atomic_order", "type", "content")})
-        return [(e["id"], units[0]["doc_id"], e["atomic_order"], e["type"], e["content"], tokens(e["content"] or ""), e["n_joined"]) for e in buf.rest()]
-
-    return in_groups(rows, ["doc_id", "stretch"], ["atomic_order", "id"], work, OUT)
+    A joined text is cut if its last part is, so whether a text joins depends on its predecessor alone; two running values
+    per row, carried over stretches of places, find the text it joins, wherever that stands. Only texts that are
+    joined are collected.
+    """
+    rows = elements.where("doc_id is not null and id is not null").select("id", "doc_id", F.coalesce("atomic_order", F.lit(0)).cast("int").alias("o"), F.coalesce("type", F.lit("")).alias("type"), "content")
+    full = (F.col("type") == "text") & (X.strip(F.coalesce("content", F.lit(""))) != "")
+    state = F.when(F.col("type") == "section_header", False).when(full, X.is_text_incomplete(F.col("content")))
+    narrow = rows.select("id", "doc_id", "o", full.alias("full"), state.alias("cut"))
+    flow = last_before(narrow, "doc_id", "cut", "open")
+    joins = F.col("full") & F.coalesce("open", F.lit(False))
+    heads = flow.withColumn("joins", joins).withColumn("head", F.when(F.col("full") & ~joins, F.col("id")))
+    led = last_before(heads.select("id", "doc_id", "o", "joins", "head"), "doc_id", "head", "into").where("joins").select(F.col("id").alias("j_id"), "into")
+    met = rows.join(led, F.col("id") == F.col("j_id"), "left").select("*", F.coalesce("into", "id").alias("to"))
+    parts = met.where("into is not null").groupBy(F.col("to").alias("h_id")).agg(F.sort_array(F.collect_list(F.struct("o", "id", "content"))).alias("parts"))
+    out = met.where("into is null").join(parts, F.col("id") == F.col("h_id"), "left")
+    text = F.when(F.col("parts").isNotNull(), F.concat_ws(" ", "content", F.array_join(F.transform("parts", lambda x: x["content"]), " "))).otherwise(F.col("content"))
+    done = out.select("id", "doc_id", F.col("o").alias("atomic_order"), "type", text.alias("content"), F.coalesce(F.size("parts"), F.lit(0)).alias("n_joined"))
+    return done.select("id", "doc_id", "atomic_order", "type", "content", X.token_count(F.coalesce("content", F.lit(""))).alias("token_count"), "n_joined")
 
 
 def stitch_stream(elements: DataFrame, above: int = 100, most: int = 200) -> DataFrame:

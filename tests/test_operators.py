@@ -240,3 +240,57 @@ def test_extra_columns_do_no_harm(spark):
     assert R.postings(rows).count() == 1
     with pytest.raises(Exception):
         R.postings(rows.drop("text")).count()
+
+
+@pytest.mark.parametrize("shift", [0, 4093, 4096 * 3 - 2])
+def test_chunks_do_not_depend_on_where_places_begin(spark, shift):
+    from leafmill.streaming.stitch import Buffer, stitch
+
+    r = random.Random(8)
+    rows, o = [], 0
+    for k in range(120):
+        o += r.choice((1, 1, 2))
+        kind = r.choice(("text", "text", "text", "list_item", "picture", "section_header"))
+        text = {"picture": "uri", "section_header": "A title"}.get(kind) or " ".join(["some words here"] * r.choice((1, 3, 60))) + r.choice((".", "", " and", " (open", " "))
+        rows.append((f"e{k:03d}", "d", o, kind, r.choice(("main", "nottoc")) if kind == "section_header" else None, None, text if r.random() > 0.05 else r.choice(("  ", None))))
+    schema = "id string, doc_id string, atomic_order int, type string, heading_type string, description string, content string"
+    df = spark.createDataFrame([(i, d, o + shift, *x) for i, d, o, *x in rows], schema)
+
+    buf = Buffer()
+    for i, _, o, kind, _, _, text in rows:
+        buf.add({"id": i, "atomic_order": o, "type": kind, "content": text})
+    want = [(e["id"], e["content"], e["n_joined"]) for e in buf.rest()]
+    assert sorted((x.id, x.content, x.n_joined) for x in stitch(df).collect()) == want and any(n > 1 for _, _, n in want)
+
+    one: list[str] = []  # the fold over the whole document at once
+    for text in (t for s in _sections([(k, t) for *_, k, _, _, t in rows if t is not None]) for t in s):
+        one.append(text)
+    got = sorted((x.block, x.stretch, x.section, x.k, x.text) for x in C.title_chunks(df).collect())
+    assert [x[4] for x in got] == one
+
+    units = df.select("*", F.lit("doc").alias("document"), F.lit(0).alias("top"), F.lit("").alias("path"), F.lit(False).alias("fits"), F.coalesce(F.length("content"), F.lit(0)).alias("size"))
+    pieces = [[]]
+    for i, d, o, kind, head, desc, text in rows:
+        if kind == "section_header" and head == "nottoc":
+            pieces.append([])
+        pieces[-1].append({"id": i, "doc_id": d, "document": "doc", "path": "", "fits": False, "type": kind, "heading_type": head, "description": desc, "content": text, "atomic_order": o, "size": len(text or "")})
+    want = [c[5] for p in pieces if p for c in C._chunks_of(p, DEFAULT)]
+    assert sorted(x.text for x in C.semantic_chunks(units).collect()) == sorted(want)
+
+
+def _sections(rows):
+    """By title: (type, content) in order to the texts of each section, as one fold."""
+    sections = [[]]
+    for kind, t in rows:
+        if kind == "section_header" and sum(map(len, sections[-1])) >= 500:
+            sections.append([])
+        sections[-1].append(t)
+    for texts in sections:
+        out, now = [], ""
+        for t in texts:
+            for p in (t[a : a + 3000] for a in range(0, max(1, len(t)), 3000)):
+                if now and (len(now) + 2 + len(p) > 3000 or len(now) >= 2400):
+                    out.append(now)
+                    now = ""
+                now = f"{now}\n\n{p}" if now else p
+        yield [*out, now] if now.strip() else out
