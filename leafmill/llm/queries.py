@@ -61,7 +61,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements that hold a line repeated excessively within their source."""
     from leafmill.llm.lines import excessive
 
-    return excessive(table(spark, sf_dir, "atomic_elements"), table(spark, sf_dir, "corpus")).select("id").distinct()
+    return excessive(table(spark, sf_dir, "atomic_elements"), table(spark, sf_dir, "corpus"), single=True).select("id").distinct()
 
 
 @query
