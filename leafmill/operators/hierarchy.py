@@ -62,8 +62,8 @@ def assign_nodes(headings: DataFrame, nodes: DataFrame, threshold: int = 90, str
 
     ``headings`` has (doc_id, atomic_order, title[, page]), ``nodes`` (doc_id, pre, title[, page]). The next expected entry is
     the only one a heading may open; with ``strict`` an entry that never appears stalls all after it, otherwise a
-    heading may also open a later entry, which passes over those between. Pages must agree where both are known. Only
-    headings and entries take part in this fold, one document at a time.
+    heading may also open a later entry, the first equal one or else the first similar one, which passes over those
+    between. Pages must agree where both are known. Only headings and entries take part in this fold, one document at a time.
     """
     page = lambda df: F.col("page").cast("int") if "page" in df.columns else F.lit(None).cast("int")
     left = headings.select("doc_id", F.lit(0).alias("kind"), F.col("atomic_order").cast("int").alias("pos"), X.normalize_title(F.col("title")).alias("t"), page(headings).alias("page"))
@@ -82,6 +82,9 @@ def assign_nodes(headings: DataFrame, nodes: DataFrame, threshold: int = 90, str
             hit = nxt if fits(nxt) and match_ratio(h["t"], want[nxt]["t"]) >= threshold else None
             if hit is None and not strict:
                 hit = next((k for k in exact.get(h["t"], ()) if k >= nxt and fits(k)), None)
+                if hit is None:  # lengths that differ too much cannot be similar enough
+                    n = len(h["t"])
+                    hit = next((k for k in range(nxt, len(want)) if 200 * min(n, len(want[k]["t"])) >= threshold * (n + len(want[k]["t"])) and fits(k) and match_ratio(h["t"], want[k]["t"]) >= threshold), None)
             if hit is not None:
                 out.append((h["doc_id"], h["pos"], want[hit]["pos"]))
                 nxt = hit + 1

@@ -29,6 +29,29 @@ def sql_norm(x: str) -> str:
     return sql_collapse(rf"regexp_replace(lower({x}), '{NOT_WORD}', '', 'g')")
 
 
+def sql_tokens(x: str) -> str:
+    return f"greatest(1, trunc(length({x}) / 3.56)::INT)"
+
+
+def sql_words(x: str) -> str:
+    return f"list_filter(string_split_regex({sql_strip(x)}, '{WS}+'), lambda w: w <> '')"
+
+
+def sql_tail(x: str) -> str:
+    """The overlap that goes into the next part."""
+    return f"CASE WHEN len({sql_words(x)}) > 61 THEN array_to_string({sql_words(x)}[-61:], ' ') ELSE {x} END"
+
+
+def sql_incomplete(t: str, dangling: tuple[str, ...]) -> str:
+    """Whether a text looks cut."""
+    s, many = sql_strip(t), lambda p: f"len(regexp_extract_all({t}, '{p}'))"
+    over = " OR ".join(f"{many(chr(92) + a)} > {many(chr(92) + b)}" for a, b in ("()", "[]", "{}"))
+    return f"""CASE WHEN {t} IS NULL OR {s} = '' THEN false ELSE
+      (NOT regexp_matches(right({s}, 1), '[.!?”"'')\\]]') AND regexp_matches(right({s}, 1), '[\\p{{L}}\\p{{N}}]'))
+      OR lower(string_split_regex({s}, '{WS}+')[-1]) IN ({", ".join(f"'{w}'" for w in dangling)})
+      OR {over} OR {many('"')} % 2 <> 0 OR {many("“")} <> {many("”")} END"""
+
+
 def core(sql: str | None = None) -> Callable:
     """Register a query under its function's name; the SQL gives the same rows."""
 
@@ -50,4 +73,6 @@ CONTENTS = "SELECT DISTINCT id, content AS t FROM atomic_elements WHERE id IS NO
 
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "atomic_elements").where("id is not null and content is not null").select("id", F.col("content").alias("t")).distinct()
+    """Rows are made distinct by id and a hash, combined before they are shuffled; a content travels once per id."""
+    rows = table(spark, sf_dir, "atomic_elements").where("id is not null and content is not null")
+    return rows.groupBy("id", F.xxhash64("content").alias("h")).agg(F.any_value("content").alias("t")).select("id", "t")

@@ -9,8 +9,8 @@ from leafmill.functions import text as X
 from leafmill.operators import chunking as C
 from leafmill.operators import hierarchy as H
 from leafmill.operators import indexing as I
-from leafmill.plans.base import WS, core
-from leafmill.plans.trees import latest, placed, tree
+from leafmill.plans.base import WS, core, sql_incomplete, sql_strip, sql_tail, sql_tokens, sql_words
+from leafmill.plans.trees import LATEST, latest, placed, tree
 from leafmill.runtime import cut, table
 
 _DOCS = "d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND length(text) > 0)"
@@ -43,7 +43,20 @@ def recursive_char_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.recursive_chunks(table(spark, sf_dir, "documents"))
 
 
-@core()
+_TITLES = """u AS (SELECT doc_id, id, coalesce(atomic_order, 0) AS o, coalesce(type = 'section_header', false) AS title, content, length(content) AS n FROM l WHERE doc_id IS NOT NULL AND content IS NOT NULL),
+ b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY o, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u),
+ c AS (SELECT *, title AND before - coalesce(last_value(CASE WHEN title THEN before END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY o, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 500 AS sure FROM b),
+ d AS (SELECT *, sum(sure::INT) OVER (PARTITION BY doc_id ORDER BY o, id) AS block, o - coalesce(last_value(CASE WHEN sure THEN o END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY o, id), min(o) OVER (PARTITION BY doc_id)) AS off FROM c),
+ g AS (SELECT doc_id, block::BIGINT AS block, (off // 4096)::BIGINT AS stretch, list({'n': n, 'sec': title::INT, 'out': []::INT[]} ORDER BY o, id) AS xs, list(content ORDER BY o, id) AS texts FROM d GROUP BY ALL),
+ s AS (SELECT *, list_reduce(list_prepend({'n': 0::BIGINT, 'sec': 0, 'out': []::INT[]}, xs), lambda a, x: CASE WHEN x.sec = 1 AND a.n >= 500 THEN {'n': x.n, 'sec': a.sec + 1, 'out': list_append(a.out, a.sec + 1)} ELSE {'n': a.n + x.n, 'sec': a.sec, 'out': list_append(a.out, a.sec)} END).out AS secs FROM g),
+ t AS (SELECT doc_id, block, stretch, generate_subscripts(texts, 1) AS i, unnest(secs) AS section, unnest(texts) AS t FROM s),
+ p AS (SELECT doc_id, block, stretch, section, flatten(list(CASE WHEN length(t) > 3000 THEN list_transform(range(0, length(t), 3000), lambda k: {'done': []::VARCHAR[], 'now': substring(t, k + 1, 3000)}) ELSE [{'done': []::VARCHAR[], 'now': t}] END ORDER BY i)) AS ps FROM t GROUP BY ALL),
+ r AS (SELECT doc_id, block, stretch, section, list_reduce(list_prepend({'done': []::VARCHAR[], 'now': ''}, ps), lambda a, x: CASE WHEN a.now = '' THEN {'done': a.done, 'now': x.now}
+   WHEN length(a.now) + 2 + length(x.now) > 3000 OR length(a.now) >= 2400 THEN {'done': list_append(a.done, a.now), 'now': x.now} ELSE {'done': a.done, 'now': a.now || chr(10) || chr(10) || x.now} END) AS z FROM p),
+ e AS (SELECT *, CASE WHEN {strip} = '' THEN z.done ELSE list_append(z.done, z.now) END AS out FROM r)""".replace("{strip}", sql_strip("z.now"))
+
+
+@core(f"WITH l AS ({LATEST}), {_TITLES} SELECT doc_id, block, stretch, section, (generate_subscripts(out, 1) - 1)::INT AS k, unnest(out) AS text FROM e")
 def chunk_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.title_chunks(latest(spark, sf_dir).select("doc_id", "id", "atomic_order", "type", "content"))
 
@@ -103,7 +116,7 @@ def page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches(table(spark, sf_dir, "documents").select("doc_id", F.col("page_count").alias("pages")))
 
 
-@core("SELECT doc_id, string_agg(coalesce(content, ''), chr(10) ORDER BY coalesce(atomic_order, 0), id) AS text FROM (" + __import__("leafmill.plans.trees", fromlist=["LATEST"]).LATEST + ") WHERE doc_id IS NOT NULL GROUP BY doc_id")
+@core("SELECT doc_id, string_agg(coalesce(content, ''), chr(10) ORDER BY coalesce(atomic_order, 0), id) AS text FROM (" + LATEST + ") WHERE doc_id IS NOT NULL GROUP BY doc_id")
 def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's elements as one text, in order."""
     from leafmill.sources.parsed import serialize
@@ -111,7 +124,14 @@ def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serialize(latest(spark, sf_dir))
 
 
-@core()
+_BEFORE = "OVER (PARTITION BY doc_id ORDER BY o, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@core(f"""WITH l AS ({LATEST}), r AS (SELECT id, doc_id, coalesce(atomic_order, 0)::INT AS o, coalesce(type, '') AS type, content, {sql_incomplete('content', X.DANGLING)} AS inc, coalesce(type = 'text' AND {sql_strip('content')} <> '', false) AS filled FROM l WHERE doc_id IS NOT NULL),
+ f AS (SELECT *, filled AND coalesce(last_value(CASE WHEN type = 'section_header' THEN false WHEN filled THEN inc END IGNORE NULLS) {_BEFORE}, false) AS joins FROM r),
+ h AS (SELECT *, CASE WHEN joins THEN last_value(CASE WHEN filled AND NOT joins THEN id END IGNORE NULLS) {_BEFORE} ELSE id END AS head FROM f),
+ g AS (SELECT head AS id, doc_id, first(o ORDER BY o, id) AS atomic_order, first(type ORDER BY o, id) AS type, string_agg(content, ' ' ORDER BY o, id) AS content, (count(*) - 1)::INT AS n_joined FROM h GROUP BY head, doc_id)
+ SELECT id, doc_id, atomic_order, type, content, {sql_tokens("coalesce(content, '')")} AS token_count, n_joined FROM g""")
 def stitch_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that were cut, joined with the texts that go on with them."""
     from leafmill.streaming.stitch import stitch
@@ -119,7 +139,25 @@ def stitch_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stitch(latest(spark, sf_dir))
 
 
-@core()
+def _split_sql() -> str:
+    """Sentences packed one after another: each step turns what is done and the part at hand into the next state."""
+    n, s = "a.now", "x.item"
+    both, left = f"({n} || ' ' || {s})", f"({sql_tail(n)})"
+    fits, big, more = f"{sql_tokens(both)} <= 600", f"{sql_tokens(n)} >= 200", f"{sql_tokens(f'({left} || chr(32) || {s})')} > 600"
+    done = f"""CASE x.kind WHEN 's' THEN CASE WHEN {fits} THEN a.done WHEN {big} THEN list_append(a.done, {sql_strip(n)}) ELSE list_append(a.done, {sql_strip(both)}) END
+      WHEN 'c' THEN CASE WHEN {big} THEN list_append(a.done, {sql_strip(n)}) ELSE a.done END ELSE CASE WHEN {n} <> '' AND NOT ({fits}) THEN list_append(a.done, {sql_strip(n)}) ELSE a.done END END"""
+    now = f"""CASE x.kind WHEN 's' THEN CASE WHEN {fits} THEN {both} WHEN {big} THEN CASE WHEN {more} THEN {s} ELSE {left} || ' ' || {s} END ELSE {sql_tail(both)} END
+      WHEN 'c' THEN CASE WHEN {big} THEN {left} ELSE {n} END ELSE CASE WHEN {n} = '' OR {fits} THEN {both} WHEN {more} THEN ' ' || {s} ELSE {left} || ' ' || {s} END END"""
+    state = lambda kind, item: f"{{'done': []::VARCHAR[], 'now': '', 'kind': {kind}, 'item': {item}}}"
+    grow = f"list_reduce({sql_words('x')}, lambda b, w: b || CASE WHEN {sql_tokens('(string_split(b, chr(1))[-1] || chr(32) || w)')} <= 600 THEN ' ' ELSE chr(1) END || w)"
+    long = f"list_prepend({state(chr(39) + 'c' + chr(39), chr(39) * 2)}, list_transform(string_split({grow}, chr(1)), lambda p: {state(chr(39) + 'p' + chr(39), 'p')}))"
+    items = f"flatten(list_transform(ss, lambda x: CASE WHEN {sql_tokens('x')} <= 600 THEN [{state(chr(39) + 's' + chr(39), 'x')}] ELSE {long} END))"
+    return f"""s AS (SELECT id, list_filter(list_transform(string_split(regexp_replace(content, '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {sql_strip('x')}), lambda x: x <> '') AS ss FROM l WHERE length(content) > 0),
+     r AS (SELECT id, list_reduce(list_prepend({state("''", "''")}, {items}), lambda a, x: {{'done': {done}, 'now': {now}, 'kind': '', 'item': ''}}) AS z FROM s),
+     p AS (SELECT id, list_filter(list_append(z.done, {sql_strip('z.now')}), lambda t: t <> '') AS ps FROM r)"""
+
+
+@core(f"WITH l AS ({LATEST}), {_split_sql()}, k AS (SELECT id, (generate_subscripts(ps, 1) - 1)::INT AS k, unnest(ps) AS text FROM p) SELECT id, k, text, {sql_tokens('text')} AS token_count FROM k")
 def split_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every element's content in overlapping parts of bounded size."""
     return I.text_parts(latest(spark, sf_dir).select("id", "content"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.config import DEFAULT
 from leafmill.functions import text as X
-from leafmill.plans.base import CONTENTS, SQL, WS, contents, core, sql_collapse, sql_norm, sql_strip
+from leafmill.plans.base import CONTENTS, SQL, WS, contents, core, sql_collapse, sql_incomplete, sql_norm, sql_strip
 from leafmill.runtime import table
 
 
@@ -30,16 +30,7 @@ _scalar("overlap_tail", X.overlap_tail, rf"CASE WHEN len(list_filter(string_spli
 _scalar("clean_text", X.clean_text, sql_strip(r"replace(replace(t, chr(160), ' '), chr(8203), '')"))
 _scalar("make_id", X.make_id, f"md5({sql_collapse('t')})")
 _S = sql_strip("t")
-_count = lambda p: rf"len(regexp_extract_all(t, '{p}'))"
-_scalar(
-    "is_text_incomplete",
-    X.is_text_incomplete,
-    f"""CASE WHEN {_S} = '' THEN false ELSE
-      (NOT regexp_matches(right({_S}, 1), '[.!?”"'')\\]]') AND regexp_matches(right({_S}, 1), '[\\p{{L}}\\p{{N}}]'))
-      OR lower(string_split_regex({_S}, '{WS}+')[-1]) IN ({", ".join(f"'{w}'" for w in X.DANGLING)})
-      OR {_count(chr(92) + "(")} > {_count(chr(92) + ")")} OR {_count(chr(92) + "[")} > {_count(chr(92) + "]")} OR {_count(chr(92) + "{")} > {_count(chr(92) + "}")}
-      OR {_count('"')} % 2 <> 0 OR {_count("“")} <> {_count("”")} END""",
-)
+_scalar("is_text_incomplete", X.is_text_incomplete, sql_incomplete("t", X.DANGLING))
 _scalar("first_sentence", X.first_sentence, rf"coalesce(nullif(regexp_extract({_S}, '(.+?[.!?])({WS}|$)', 1), ''), {_S})")
 _scalar("first_list_item", X.first_list_item, rf"coalesce(list_filter(list_transform(string_split_regex({_S}, '\r\n|\n|\r'), lambda x: {sql_strip('x')}), lambda x: regexp_matches(x, '^[-*•]'))[1], {sql_strip(rf"string_split_regex({_S}, '" + chr(92) + "r" + chr(92) + "n|" + chr(92) + "n|" + chr(92) + "r')[1]")})")
 _scalar("normalize_text", X.normalize_text, sql_norm("t"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
 from leafmill.operators import hierarchy as H
-from leafmill.plans.base import core
+from leafmill.plans.base import WS, core, sql_strip
 from leafmill.runtime import cut, latest_by_id, table
 
 FIELDS = ["created_at", "atomic_order", "token_count", "doc_id", "type", "heading_type", "description", "content"]
@@ -28,9 +28,10 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def placed(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -> DataFrame:
     """Elements with the open entry of their document; those before the first heading, or without entries, lie in -1."""
-    rows = cut(latest(spark, sf_dir).where("doc_id is not null"))
+    rows = cut(latest(spark, sf_dir).where("doc_id is not null").withColumn("atomic_order", F.coalesce("atomic_order", F.lit(0))))
     heads = rows.where("type = 'section_header' and heading_type = 'main'").select("doc_id", "atomic_order", F.col("content").alias("title"))
-    opened = H.assign_nodes(heads, (nodes or tree(spark, sf_dir)).select("doc_id", "pre", "title")).select(F.col("doc_id").alias("o_doc"), F.col("atomic_order").alias("o_at"), F.col("pre").alias("opens"))
+    opened = H.assign_nodes(heads, (nodes or tree(spark, sf_dir)).select("doc_id", "pre", "title"))
+    opened = opened.groupBy(F.col("doc_id").alias("o_doc"), F.col("atomic_order").alias("o_at")).agg(F.max("pre").alias("opens"))  # headings at one place open the last
     heads = rows.join(opened, (F.col("doc_id") == F.col("o_doc")) & (F.col("atomic_order") == F.col("o_at")) & (F.col("heading_type") == "main"), "left").drop("o_doc", "o_at")
     return cut(H.running_last(heads, "doc_id", "atomic_order", "opens", "open").withColumn("pre", F.coalesce("open", F.lit(-1))).drop("opens", "open"))
 
@@ -57,44 +58,62 @@ def open_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.running_last(rows, "doc_id", "o", "h", "heading").select("id", "doc_id", "atomic_order", "heading")
 
 
-@core()
+def bare(x: str) -> str:
+    """Titles in the form in which they are compared."""
+    return rf"coalesce(regexp_replace(regexp_replace(regexp_replace(lower({sql_strip(x)}), '^\d+(\.\d+)*\.?{WS}*', ''), '[.,]', '', 'g'), '{WS}+', '', 'g'), '')"
+
+
+#: Similar titles by their longest common subsequence, a bit per character of the heading; the fold takes entries in order.
+PLACED = f"""l AS (SELECT * REPLACE (coalesce(atomic_order, 0) AS atomic_order), {_SIZE} AS size FROM ({LATEST}) WHERE doc_id IS NOT NULL),
+ hd AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY atomic_order, t) AS k FROM (SELECT doc_id, atomic_order, {bare('content')} AS t FROM l WHERE type = 'section_header' AND heading_type = 'main')),
+ en AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pre, t) AS i FROM (SELECT doc_id, pre, {bare('title')} AS t FROM n)),
+ he AS (SELECT h.doc_id, h.k, h.atomic_order, en.i, h.t = en.t AS same, h.t AS a, en.t AS b FROM hd h JOIN en USING (doc_id) WHERE h.t = en.t OR 2.0 * least(length(h.t), length(en.t)) >= 0.9 * (length(h.t) + length(en.t))),
+ lc AS (SELECT *, list_reduce(list_prepend((1::HUGEINT << length(a)) - 1, list_transform(string_split(b, ''), lambda c: list_sum(list_transform(range(length(a)), lambda p: CASE WHEN substring(a, p + 1, 1) = c THEN 1::HUGEINT << p::INT ELSE 0::HUGEINT END))::HUGEINT)),
+   lambda r, m: ((r + (r & m)) | (r - (r & m))) & ((1::HUGEINT << length(a)) - 1)) AS r FROM he WHERE NOT same AND length(a) BETWEEN 1 AND 120 AND b <> ''),
+ cl AS (SELECT doc_id, k, i, true AS same FROM he WHERE same UNION ALL SELECT doc_id, k, i, false FROM lc WHERE 200.0 * (length(a) - bit_count(r)) / (length(a) + length(b)) >= 90),
+ op AS (SELECT hd.doc_id, hd.k, hd.atomic_order, coalesce(list(i ORDER BY i) FILTER (same), []) AS eq, coalesce(list(i ORDER BY i) FILTER (i IS NOT NULL), []) AS near FROM hd LEFT JOIN cl USING (doc_id, k) GROUP BY ALL),
+ fo AS (SELECT doc_id, list_reduce(list_prepend({{'nxt': 1::BIGINT, 'out': []::BIGINT[], 'eq': []::BIGINT[], 'near': []::BIGINT[]}}, list({{'nxt': 1::BIGINT, 'out': []::BIGINT[], 'eq': eq, 'near': near}} ORDER BY k)),
+   lambda s, x: {{'nxt': coalesce(CASE WHEN list_contains(x.near, s.nxt) THEN s.nxt ELSE coalesce(list_min(list_filter(x.eq, lambda i: i >= s.nxt)), list_min(list_filter(x.near, lambda i: i >= s.nxt))) END + 1, s.nxt),
+     'out': list_append(s.out, CASE WHEN list_contains(x.near, s.nxt) THEN s.nxt ELSE coalesce(list_min(list_filter(x.eq, lambda i: i >= s.nxt)), list_min(list_filter(x.near, lambda i: i >= s.nxt))) END), 'eq': x.eq, 'near': x.near}}).out AS hits FROM op GROUP BY doc_id),
+ hi AS (SELECT doc_id, generate_subscripts(hits, 1) AS k, unnest(hits) AS i FROM fo), ho AS (SELECT hd.doc_id, hd.atomic_order, max(en.pre) AS opens FROM hi JOIN hd USING (doc_id, k) JOIN en ON en.doc_id = hi.doc_id AND en.i = hi.i GROUP BY ALL),
+ pl AS (SELECT l.*, coalesce(last_value(CASE WHEN heading_type = 'main' THEN opens END IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.atomic_order RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1)::INT AS pre FROM l LEFT JOIN ho ON l.doc_id = ho.doc_id AND l.atomic_order = ho.atomic_order AND l.heading_type = 'main')"""
+TOTALS = "ow AS (SELECT doc_id, pre, sum(size)::BIGINT AS own FROM pl GROUP BY ALL), tt AS (SELECT t.doc_id, t.pre, t.post, t.parent, coalesce(any_value(s.own), 0)::BIGINT AS own_tokens, coalesce(sum(o.own), 0)::BIGINT AS token_count FROM t LEFT JOIN ow s ON s.doc_id = t.doc_id AND s.pre = t.pre LEFT JOIN ow o ON o.doc_id = t.doc_id AND o.pre BETWEEN t.pre AND t.post GROUP BY ALL)"
+
+
+@core(f"WITH {_TREE}, {PLACED} SELECT id, doc_id, atomic_order, pre FROM pl")
 def assign_open_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which entry of its document's table of contents every element lies in."""
     return placed(spark, sf_dir).select("id", "doc_id", "atomic_order", "pre")
 
 
-_OWN = "o AS (SELECT doc_id, toc_order AS pre, toc_order % 97 + coalesce(page, 0) AS own FROM toc)"
-
-
-def _own(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "toc").select("doc_id", F.col("toc_order").alias("pre"), (F.col("toc_order") % 97 + F.coalesce("page", F.lit(0))).alias("own_tokens"))
+def _totals(spark: SparkSession, sf_dir: str, nodes: DataFrame) -> DataFrame:
+    return H.subtree_tokens(nodes, placed(spark, sf_dir, nodes).groupBy("doc_id", "pre").agg(F.sum("size").alias("own_tokens")))
 
 
-@core(f"WITH {_TREE}, {_OWN} SELECT t.doc_id, t.pre, any_value(s.own)::BIGINT AS own_tokens, sum(o.own)::BIGINT AS token_count FROM t JOIN o s ON s.doc_id = t.doc_id AND s.pre = t.pre JOIN o ON o.doc_id = t.doc_id AND o.pre BETWEEN t.pre AND t.post GROUP BY t.doc_id, t.pre")
+@core(f"WITH {_TREE}, {PLACED}, {TOTALS} SELECT doc_id, pre, token_count FROM tt")
 def subtree_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roll-up of a weight per entry (made of place and page) over the subtrees."""
-    return H.subtree_tokens(tree(spark, sf_dir), _own(spark, sf_dir))
+    """Roll-up of the elements' tokens over the subtrees."""
+    return _totals(spark, sf_dir, tree(spark, sf_dir)).select("doc_id", "pre", "token_count")
 
 
-@core(f"WITH {_TREE}, {_OWN}, s AS (SELECT t.doc_id, t.pre, t.post, sum(o.own) AS n FROM t JOIN o ON o.doc_id = t.doc_id AND o.pre BETWEEN t.pre AND t.post GROUP BY ALL) SELECT s.doc_id, s.pre FROM s WHERE n > 0 AND (n <= 120 OR post = pre) AND NOT EXISTS (SELECT 1 FROM s a WHERE a.doc_id = s.doc_id AND a.pre < s.pre AND s.pre <= a.post AND a.n <= 120)")
+@core(f"WITH {_TREE}, {PLACED}, {TOTALS} SELECT a.doc_id, a.pre FROM tt a WHERE token_count > 0 AND (token_count <= 600 OR NOT EXISTS (SELECT 1 FROM tt c WHERE c.doc_id = a.doc_id AND c.parent = a.pre)) AND NOT EXISTS (SELECT 1 FROM tt b WHERE b.doc_id = a.doc_id AND b.pre < a.pre AND a.pre <= b.post AND b.token_count <= 600)")
 def choose_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entries at which the way down stops, for that weight and 120."""
+    """The entries at which the way down stops, for the elements' tokens and a chunk's greatest size."""
     t = tree(spark, sf_dir)
-    return H.choose_cut(t, H.subtree_tokens(t, _own(spark, sf_dir)), 120, inner_text=False).select("doc_id", "pre")
+    return H.choose_cut(t, _totals(spark, sf_dir, t), inner_text=False).select("doc_id", "pre")
 
 
-@core()
+@core(f"WITH {_TREE}, {PLACED} SELECT t.doc_id, t.pre, pl.id FROM t JOIN pl ON pl.doc_id = t.doc_id AND pl.pre BETWEEN t.pre AND t.post")
 def subtree_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every element under every entry whose subtree holds it."""
     nodes = tree(spark, sf_dir)
     return H.subtree_units(nodes, placed(spark, sf_dir, nodes).where("pre >= 0").select("doc_id", "pre", "id"))
 
 
-@core()
+@core(f"WITH {_TREE}, {PLACED}, {TOTALS} SELECT doc_id, pre, own_tokens, token_count FROM tt")
 def node_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roll-up of the elements' tokens over the tables of contents."""
-    nodes = tree(spark, sf_dir)
-    return H.subtree_tokens(nodes, placed(spark, sf_dir, nodes).groupBy("doc_id", "pre").agg(F.sum("size").alias("own_tokens")))
+    """Own tokens of every entry and those of its subtree."""
+    return _totals(spark, sf_dir, tree(spark, sf_dir))
 
 
 @core(f"WITH l AS ({LATEST}) SELECT id, doc_id, atomic_order, type, {_SIZE} AS size FROM l")
