@@ -10,7 +10,7 @@ from leafmill.operators import chunking as C
 from leafmill.operators import hierarchy as H
 from leafmill.operators import indexing as I
 from leafmill.plans.base import WS, core, sql_incomplete, sql_strip, sql_tail, sql_tokens, sql_words
-from leafmill.plans.trees import LATEST, latest, placed, tree
+from leafmill.plans.trees import LATEST, PLACED, TOTALS, TREE, latest, placed, tree
 from leafmill.runtime import cut, table
 
 _DOCS = "d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND length(text) > 0)"
@@ -81,17 +81,6 @@ def hsf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.semantic_chunks(units)
 
 
-@core()
-def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hsf(spark, sf_dir)
-
-
-@core()
-def build_index_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index records of the semantic chunks: section, stored text, image ids, embedded text."""
-    return I.index_data(hsf(spark, sf_dir))
-
-
 @core("WITH c AS (SELECT doc_id, any_value(text) AS text FROM hits WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id), w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{M}\\p{N}_]+'), lambda x: x <> '') AS w FROM c), t AS (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM w) SELECT term, doc_id, count(*) AS tf, max(len)::INT AS len FROM t GROUP BY term, doc_id")
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverted index over all retrieved chunks."""
@@ -161,3 +150,73 @@ def _split_sql() -> str:
 def split_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every element's content in overlapping parts of bounded size."""
     return I.text_parts(latest(spark, sf_dir).select("id", "content"))
+
+
+def _pack_sql() -> str:
+    """Elements taken into a chunk one after another: the state is the chunk at hand and those closed before it."""
+    stripped = lambda t: f"{sql_strip(t)} <> ''"
+
+    def grown(text: str, tb: str, go: str, pend: str, imgs: str) -> str:
+        """The text and images at hand with one element more; a main heading gives way to one that follows at once."""
+        base = f"CASE WHEN {pend} THEN {tb} ELSE {text} END"
+        new = f"""CASE WHEN x.type = 'text' THEN {text} || CASE WHEN {go} THEN ' ' WHEN {text} <> '' THEN chr(10) ELSE '' END || x.c
+          WHEN x.type = 'section_header' THEN CASE WHEN x.head = 'nottoc' AND {stripped(text)} THEN {text} || chr(10) || chr(10) || x.c
+            WHEN x.head = 'main' THEN {base} || CASE WHEN {stripped(f'({base})')} THEN chr(10) || chr(10) || '# ' || x.descr ELSE '' END ELSE {text} END
+          WHEN x.type = 'picture' OR x.c = '' THEN {text} ELSE {text} || chr(10) || x.c END"""
+        main = "x.type = 'section_header' AND x.head = 'main'"
+        return f"{{'text': {new}, 'tb': CASE WHEN {main} THEN {base} ELSE '' END, 'go': x.type = 'text' AND x.inc, 'pend': {main}, 'imgs': CASE WHEN x.type = 'picture' THEN list_append({imgs}, x.c) ELSE {imgs} END}}"
+
+    size = lambda text, imgs: f"(CASE WHEN {text} = '' THEN 0 ELSE {sql_tokens(text)} END + 300 * len({imgs}))::INT"
+    chunk = lambda first, last, part, text, imgs: f"{{'first': {first}, 'last': {last}, 'part': {part}, 'text': {text}, 'images': {imgs}, 'tokens': {size(text, imgs)}}}"
+    shut = f"CASE WHEN a.first IS NULL THEN a.out ELSE list_append(a.out, {chunk('a.first', 'a.last', '-1', 'a.text', 'a.imgs')}) END"
+    lead = f"({sql_strip('(' + sql_strip('a.text') + ' || chr(10) || chr(10) || x.ps[1])')})"
+    own = lambda ps: f"list_transform({ps}, lambda p, k: {chunk('x.o', 'x.o', 'k - 1', 'p', '[]::VARCHAR[]')})"
+    led = "a.have < 200 AND a.first IS NOT NULL AND len(x.ps) > 0"
+    big, long = "NOT x.whole AND a.have + x.size >= 600", "x.type = 'text' AND x.size >= 600"
+    pick = lambda grow, fresh, gone: f"CASE WHEN NOT ({big}) THEN {grow} WHEN {long} THEN {gone} WHEN a.have >= 200 THEN {fresh} ELSE {gone} END"
+    out = f"""CASE WHEN NOT ({big}) THEN a.out WHEN {long} THEN CASE WHEN {led} THEN list_concat(list_append(a.out, {chunk('a.first', 'x.o', '-1', lead, 'a.imgs')}), {own('x.ps[2:]')}) ELSE list_concat({shut}, {own('x.ps')}) END
+      WHEN a.have >= 200 THEN {shut} ELSE list_append(a.out, {chunk('coalesce(a.first, x.o)', 'x.o', '-1', 'v.m.text', 'v.m.imgs')}) END"""
+    keep = {"text": ("v.m.text", "v.s.text", "''"), "tb": ("v.m.tb", "v.s.tb", "''"), "go": ("v.m.go", "v.s.go", "false"), "pend": ("v.m.pend", "v.s.pend", "false"), "imgs": ("v.m.imgs", "v.s.imgs", "[]::VARCHAR[]"),
+            "have": (size("v.m.text", "v.m.imgs"), size("v.s.text", "v.s.imgs"), "0"), "first": ("coalesce(a.first, x.o)", "x.o", "NULL::INT"), "last": ("x.o", "x.o", "NULL::INT")}
+    still = ", ".join(f"'{k}': x.{k}" for k in ("type", "head", "c", "descr", "o", "size", "inc", "ps", "whole"))
+    step = f"list_transform([{{'m': {grown('a.text', 'a.tb', 'a.go', 'a.pend', 'a.imgs')}, 's': {grown(chr(39) * 2, chr(39) * 2, 'false', 'false', '[]::VARCHAR[]')}}}], lambda v: {{{', '.join(f'{chr(39)}{k}{chr(39)}: {pick(*w)}' for k, w in keep.items())}, 'out': {out}, {still}}})[1]"
+    none = "'text': '', 'tb': '', 'go': false, 'pend': false, 'imgs': []::VARCHAR[], 'have': 0::INT, 'first': NULL::INT, 'last': NULL::INT, 'out': []::STRUCT(first INT, last INT, part INT, text VARCHAR, images VARCHAR[], tokens INT)[]"
+    unit = f"{{{none}, 'type': type, 'head': head, 'c': c, 'descr': descr, 'o': o, 'size': size, 'inc': inc, 'ps': ps, 'whole': whole}}"
+    zero = f"{{{none}, 'type': '', 'head': '', 'c': '', 'descr': '', 'o': 0, 'size': 0, 'inc': false, 'ps': []::VARCHAR[], 'whole': false}}"
+    step = step.replace("k - 1", "(k - 1)::INT").replace("-1,", "(-1)::INT,")
+    last = shut.replace("a.", "z.").replace("-1,", "(-1)::INT,")
+    label = sql_strip("regexp_replace(c, '^#+', '')")
+    return f"""{TREE}, {PLACED}, {TOTALS}, {_split_sql()}, pa AS (SELECT d.doc_id, d.pre, string_agg(a.title, ' > ' ORDER BY a.pre) AS path FROM t d JOIN t a ON a.doc_id = d.doc_id AND d.pre BETWEEN a.pre AND a.post GROUP BY ALL),
+     sto AS (SELECT a.*, token_count <= 600 OR NOT EXISTS (SELECT 1 FROM tt c WHERE c.doc_id = a.doc_id AND c.parent = a.pre) AS full_ FROM tt a WHERE token_count > 0 AND NOT EXISTS (SELECT 1 FROM tt b WHERE b.doc_id = a.doc_id AND b.pre < a.pre AND a.pre <= b.post AND b.token_count <= 600)),
+     ab AS (SELECT d.doc_id, d.pre, s.pre AS top, pa.path, CASE WHEN full_ THEN s.token_count ELSE s.own_tokens END <= 600 AS fits FROM tt d JOIN sto s ON s.doc_id = d.doc_id AND d.pre BETWEEN s.pre AND s.post AND (full_ OR d.pre = s.pre) AND (full_ OR s.own_tokens > 0) JOIN pa ON pa.doc_id = s.doc_id AND pa.pre = s.pre),
+     un AS (SELECT pl.* EXCLUDE (path), ab.top, ab.path, ab.fits FROM pl JOIN ab ON pl.doc_id = ab.doc_id AND pl.pre = ab.pre UNION ALL SELECT pl.* EXCLUDE (path), -1, '', false FROM pl WHERE pre < 0),
+     co AS (SELECT doc_id, coalesce(regexp_replace(string_split(arg_max(file_path, (registered_at, file_path)), '/')[-1], '[^a-zA-Z0-9._-]', '_', 'g'), doc_id) AS document FROM corpus WHERE doc_id IS NOT NULL GROUP BY doc_id),
+     bl AS (SELECT un.*, coalesce(co.document, un.doc_id) AS document, CASE WHEN fits THEN 0 ELSE sum((type = 'section_header' AND heading_type = 'nottoc')::INT) OVER w END::BIGINT AS block,
+       CASE WHEN fits THEN 0 ELSE atomic_order - coalesce(last_value(CASE WHEN type = 'section_header' AND heading_type = 'nottoc' THEN atomic_order END IGNORE NULLS) OVER w, min(atomic_order) OVER (PARTITION BY un.doc_id, top, fits)) END // 4096 AS stretch
+       FROM un LEFT JOIN co USING (doc_id) WINDOW w AS (PARTITION BY un.doc_id, top, fits ORDER BY atomic_order, id)),
+     ba AS (SELECT bl.*, coalesce(content, '') AS c, coalesce(heading_type, '') AS head, coalesce(description, '') AS descr, {sql_incomplete('content', X.DANGLING)} AS inc, coalesce(p.ps, []) AS ps, fits OR sum(size) OVER (PARTITION BY doc_id, top, fits, block, stretch) <= 600 AS whole, sum(size) OVER (PARTITION BY doc_id, top, fits, block, stretch) AS total, atomic_order::INT AS o FROM bl LEFT JOIN p USING (id)),
+     gr AS (SELECT doc_id, top, fits, block, stretch, document, any_value(total)::INT AS total, any_value(whole) AS whole, first(CASE WHEN type = 'section_header' AND length({label}) <= 300 THEN {label} ELSE '' END ORDER BY o, id) AS label, any_value(path) AS path, list({unit.replace("'size': size", "'size': size::INT")} ORDER BY o, id) AS us FROM ba GROUP BY doc_id, top, fits, block, stretch, document),
+     fd AS (SELECT *, list_reduce(list_prepend({zero}, us), lambda a, x: {step}) AS z FROM gr),
+     ou AS (SELECT *, {last} AS cs FROM fd),
+     ck AS (SELECT doc_id, top, block, stretch, document, CASE WHEN fits OR label = '' OR ends_with(path, label) THEN path WHEN path <> '' THEN path || ' > ' || label ELSE label END AS section, whole, total, unnest(list_transform(cs, lambda q, k: {{'q': q, 'k': k}})) AS e FROM ou),
+     cu AS (SELECT *, document || '__chunk_' || e.q.first || '_' || e.q.last || CASE WHEN e.q.part >= 0 THEN '_part_' || e.q.part ELSE '' END AS cid FROM ck WHERE {sql_strip('e.q.text')} <> '' OR len(e.q.images) > 0),
+     cn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, top, block, stretch, cid ORDER BY e.k) - 1 AS again FROM cu),
+     chunk AS (SELECT CASE WHEN again > 0 THEN cid || '_' || again ELSE cid END AS chunk_id, doc_id, document, CASE WHEN section = '' THEN 'General' ELSE section END AS section, CASE WHEN whole THEN total ELSE e.q.tokens END AS token_count, e.q.text AS text, e.q.images AS images, e.q.first AS first_order, e.q.last AS last_order FROM cn)"""
+
+
+CHUNKS = _pack_sql()
+
+
+@core(f"WITH {CHUNKS} SELECT * FROM chunk")
+def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hsf(spark, sf_dir)
+
+
+_CLEAN = f"CASE WHEN section IN ('', ' > ') THEN 'General' ELSE {sql_strip("regexp_replace(section, '^( > )+', '')")} END"
+
+
+@core(f"""WITH {CHUNKS}, po AS (SELECT *, {_CLEAN} AS sec, row_number() OVER (PARTITION BY doc_id ORDER BY first_order, chunk_id) - 1 AS i FROM chunk), ix AS (SELECT *, '[SECTION]: ' || sec || chr(10) || '[CONTENT]: ' || text AS stored, list_transform(images, lambda g, k: 'img' || (k - 1) || '_' || chunk_id || '_' || i) AS ids FROM po)
+ SELECT chunk_id || '_' || i AS id, doc_id, document, sec AS section, token_count, chunk_id, text AS text_content, ids AS images, stored || CASE WHEN len(ids) > 0 THEN chr(10) || '[FIGURE_DESCRIPTIONS]' || chr(10) || array_to_string(list_transform(ids, lambda g, k: '[' || (k - 1) || '] ' || chr(10)), '') ELSE '' END AS search_content FROM ix""")
+def build_index_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index records of the semantic chunks: section, stored text, image ids, embedded text."""
+    return I.index_data(hsf(spark, sf_dir))

@@ -36,17 +36,17 @@ def placed(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) ->
     return cut(H.running_last(heads, "doc_id", "atomic_order", "opens", "open").withColumn("pre", F.coalesce("open", F.lit(-1))).drop("opens", "open"))
 
 
-_TREE = """n AS (SELECT doc_id, toc_order AS pre, level, coalesce(title, '') AS title, page FROM toc),
+TREE = """n AS (SELECT doc_id, toc_order AS pre, level, coalesce(title, '') AS title, page FROM toc),
 t AS (SELECT n.*, (SELECT max(p.pre) FROM n p WHERE p.doc_id = n.doc_id AND p.pre < n.pre AND p.level < n.level) AS parent,
   coalesce((SELECT min(p.pre) - 1 FROM n p WHERE p.doc_id = n.doc_id AND p.pre > n.pre AND p.level <= n.level), (SELECT max(p.pre) FROM n p WHERE p.doc_id = n.doc_id)) AS post FROM n)"""
 
 
-@core(f"WITH {_TREE} SELECT doc_id, pre, post, level, parent, title, page FROM t")
+@core(f"WITH {TREE} SELECT doc_id, pre, post, level, parent, title, page FROM t")
 def toc_to_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree(spark, sf_dir).select("doc_id", "pre", "post", "level", "parent", "title", "page")
 
 
-@core(f"WITH {_TREE} SELECT d.doc_id, d.pre, string_agg(a.title, ' > ' ORDER BY a.pre) AS path FROM t d JOIN t a ON a.doc_id = d.doc_id AND d.pre BETWEEN a.pre AND a.post GROUP BY ALL")
+@core(f"WITH {TREE} SELECT d.doc_id, d.pre, string_agg(a.title, ' > ' ORDER BY a.pre) AS path FROM t d JOIN t a ON a.doc_id = d.doc_id AND d.pre BETWEEN a.pre AND a.post GROUP BY ALL")
 def level_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree(spark, sf_dir).select("doc_id", "pre", "path")
 
@@ -80,7 +80,7 @@ PLACED = f"""l AS (SELECT * REPLACE (coalesce(atomic_order, 0) AS atomic_order),
 TOTALS = "ow AS (SELECT doc_id, pre, sum(size)::BIGINT AS own FROM pl GROUP BY ALL), tt AS (SELECT t.doc_id, t.pre, t.post, t.parent, coalesce(any_value(s.own), 0)::BIGINT AS own_tokens, coalesce(sum(o.own), 0)::BIGINT AS token_count FROM t LEFT JOIN ow s ON s.doc_id = t.doc_id AND s.pre = t.pre LEFT JOIN ow o ON o.doc_id = t.doc_id AND o.pre BETWEEN t.pre AND t.post GROUP BY ALL)"
 
 
-@core(f"WITH {_TREE}, {PLACED} SELECT id, doc_id, atomic_order, pre FROM pl")
+@core(f"WITH {TREE}, {PLACED} SELECT id, doc_id, atomic_order, pre FROM pl")
 def assign_open_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which entry of its document's table of contents every element lies in."""
     return placed(spark, sf_dir).select("id", "doc_id", "atomic_order", "pre")
@@ -90,27 +90,27 @@ def _totals(spark: SparkSession, sf_dir: str, nodes: DataFrame) -> DataFrame:
     return H.subtree_tokens(nodes, placed(spark, sf_dir, nodes).groupBy("doc_id", "pre").agg(F.sum("size").alias("own_tokens")))
 
 
-@core(f"WITH {_TREE}, {PLACED}, {TOTALS} SELECT doc_id, pre, token_count FROM tt")
+@core(f"WITH {TREE}, {PLACED}, {TOTALS} SELECT doc_id, pre, token_count FROM tt")
 def subtree_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roll-up of the elements' tokens over the subtrees."""
     return _totals(spark, sf_dir, tree(spark, sf_dir)).select("doc_id", "pre", "token_count")
 
 
-@core(f"WITH {_TREE}, {PLACED}, {TOTALS} SELECT a.doc_id, a.pre FROM tt a WHERE token_count > 0 AND (token_count <= 600 OR NOT EXISTS (SELECT 1 FROM tt c WHERE c.doc_id = a.doc_id AND c.parent = a.pre)) AND NOT EXISTS (SELECT 1 FROM tt b WHERE b.doc_id = a.doc_id AND b.pre < a.pre AND a.pre <= b.post AND b.token_count <= 600)")
+@core(f"WITH {TREE}, {PLACED}, {TOTALS} SELECT a.doc_id, a.pre FROM tt a WHERE token_count > 0 AND (token_count <= 600 OR NOT EXISTS (SELECT 1 FROM tt c WHERE c.doc_id = a.doc_id AND c.parent = a.pre)) AND NOT EXISTS (SELECT 1 FROM tt b WHERE b.doc_id = a.doc_id AND b.pre < a.pre AND a.pre <= b.post AND b.token_count <= 600)")
 def choose_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entries at which the way down stops, for the elements' tokens and a chunk's greatest size."""
     t = tree(spark, sf_dir)
     return H.choose_cut(t, _totals(spark, sf_dir, t), inner_text=False).select("doc_id", "pre")
 
 
-@core(f"WITH {_TREE}, {PLACED} SELECT t.doc_id, t.pre, pl.id FROM t JOIN pl ON pl.doc_id = t.doc_id AND pl.pre BETWEEN t.pre AND t.post")
+@core(f"WITH {TREE}, {PLACED} SELECT t.doc_id, t.pre, pl.id FROM t JOIN pl ON pl.doc_id = t.doc_id AND pl.pre BETWEEN t.pre AND t.post")
 def subtree_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every element under every entry whose subtree holds it."""
     nodes = tree(spark, sf_dir)
     return H.subtree_units(nodes, placed(spark, sf_dir, nodes).where("pre >= 0").select("doc_id", "pre", "id"))
 
 
-@core(f"WITH {_TREE}, {PLACED}, {TOTALS} SELECT doc_id, pre, own_tokens, token_count FROM tt")
+@core(f"WITH {TREE}, {PLACED}, {TOTALS} SELECT doc_id, pre, own_tokens, token_count FROM tt")
 def node_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own tokens of every entry and those of its subtree."""
     return _totals(spark, sf_dir, tree(spark, sf_dir))
