@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from leafmill.config import DEFAULT, Compat, Settings
 from leafmill.functions import text as X
@@ -23,32 +24,61 @@ def terms(t: Column) -> Column:
 # ---- vectors --------------------------------------------------------------------------------------------------------------
 
 
-def _near(block: np.ndarray, ids: list[int], k: int, skip_self: bool) -> Callable:
+def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the ``k`` greatest similarities and their ids; of equal ones the smaller ids. ``ids`` is a row or has the shape of ``sims``."""
+    wide = np.broadcast_to(ids, sims.shape)
+    if sims.shape[1] <= k:
+        return sims, wide
+    at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    top = np.take_along_axis(sims, at, 1)
+    least = top.min(axis=1)
+    for r in np.flatnonzero((sims >= least[:, None]).sum(axis=1) > k):  # a tie over the border
+        idx = np.flatnonzero(sims[r] >= least[r])
+        at[r] = idx[np.lexsort((wide[r, idx], -sims[r, idx]))[:k]]
+    return np.take_along_axis(sims, at, 1), np.take_along_axis(wide, at, 1)
+
+
+def _near(shared, k: int, skip_self: bool) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, block = shared.value
+        best: list = [None] * -(-len(asked) // BLOCK)
+        kind = pa.int64()
         for b in batches:
+            kind = b.schema.field(0).type
             if not b.num_rows:
                 continue
-            own = b.column(0).to_numpy()
+            own = b.column(0).to_numpy(zero_copy_only=False)
+            own = own.astype(np.int64 if pa.types.is_integer(kind) else np.str_)
             vecs = np.array(b.column(1).to_pylist(), np.float64)
             norm = np.linalg.norm(vecs, axis=1)
-            sims = np.round(block @ (vecs / np.where(norm == 0, 1, norm)[:, None]).T, 6)
-            if skip_self:
-                sims[np.array(ids)[:, None] == own[None, :]] = -9
-            order = np.lexsort((np.broadcast_to(own, sims.shape), -sims), axis=1)[:, :k]
-            q = np.repeat(ids, order.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(own[order.ravel()], pa.int64()), pa.array(np.take_along_axis(sims, order, 1).ravel())], names=["query_id", "vec_id", "similarity"])
+            vecs = (vecs / np.where(norm == 0, 1, norm)[:, None]).T
+            for j in range(len(best)):
+                part = slice(j * BLOCK, (j + 1) * BLOCK)
+                sims = np.round(block[part] @ vecs, 6)
+                if skip_self:
+                    sims[asked[part, None] == own[None, :]] = -9
+                found = _best(sims, own, k)
+                if best[j] is not None:
+                    found = _best(np.concatenate([best[j][0], found[0]], 1), np.concatenate([best[j][1], found[1]], 1), k)
+                best[j] = found
+        for j, found in enumerate(best):
+            if found is not None:
+                q = np.repeat(asked[j * BLOCK : (j + 1) * BLOCK], found[0].shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(found[1].ravel(), kind), pa.array(found[0].ravel(), pa.float64())], names=["query_id", "vec_id", "similarity"])
 
     return work
 
 
-def vector_search(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT.vector_limit, threshold: float | None = DEFAULT.vector_threshold, skip_self: bool = False) -> DataFrame:
+def vector_search(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT.vector_limit, threshold: float | None = DEFAULT.vector_threshold, skip_self: bool = False, most_bytes: int = 1 << 26) -> DataFrame:
     """(query_id, rank, vec_id, similarity): exact nearest vectors by cosine, similarities rounded to six places.
 
-    The stated queries come in blocks of BLOCK rows; each block is multiplied with Arrow batches of the corpus, which keep
-    their k best per query before anything is shuffled. The corpus is never moved; ties go to the smaller id. Vectors
-    that are null are left out; a vector of zeros is similar to nothing. The threshold is applied after the limit.
+    The stated queries travel to the corpus, as many at once as ``most_bytes`` hold (more take further passes); each task multiplies
+    blocks of BLOCK of them with its Arrow batches and keeps their k best, so a task gives k rows per query however much it
+    reads, and the corpus is never moved. Ids of vectors are numbers or texts; ties go to the smaller id. Vectors that are
+    null are left out; a vector of zeros is similar to nothing. The threshold is applied after the limit.
     """
-    rows = corpus.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"))
+    name = "string" if dict(corpus.dtypes)["vec_id"] == "string" else "bigint"
+    rows = corpus.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast(name), F.col("embedding").cast("array<double>"))
     asked = queries.where("query_id is not null and embedding is not null").select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>"))
     out: DataFrame | None = None
 
@@ -56,19 +86,20 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT.vector
         nonlocal out
         vecs = np.array([r[1] for r in part], np.float64)
         norm = np.linalg.norm(vecs, axis=1)
-        found = rows.mapInArrow(_near(vecs / np.where(norm == 0, 1, norm)[:, None], [r[0] for r in part], k, skip_self), "query_id bigint, vec_id bigint, similarity double")
+        shared = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in part], np.int64), vecs / np.where(norm == 0, 1, norm)[:, None]))
+        found = rows.mapInArrow(_near(shared, k, skip_self), f"query_id bigint, vec_id {name}, similarity double")
         out = found if out is None else out.unionByName(found)
 
     part: list = []
     for r in asked.toLocalIterator():
         part.append(r)
-        if len(part) == BLOCK:
+        if len(part) * 8 * max(len(r[1]), k) >= most_bytes:
             add(part)
             part = []
-    if part or out is None:
-        add(part) if part else None
+    if part:
+        add(part)
     if out is None:
-        return queries.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, similarity double")
+        return queries.sparkSession.createDataFrame([], f"query_id bigint, rank int, vec_id {name}, similarity double")
     best = out.where("similarity > -9").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).where(F.col("rank") <= k)
     if threshold is not None:
         best = best.where(F.col("similarity") >= threshold)
@@ -76,12 +107,23 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT.vector
 
 
 def hashed_embedding(df: DataFrame, text: str, out: str = "embedding", dim: int = 64) -> DataFrame:
-    """A deterministic stand-in for an embedding model: signed feature hashing of terms, unit length. All in the JVM."""
-    h = F.transform(terms(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w))
-    slots = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate("_h", F.lit(0.0), lambda a, x: a + F.when(F.pmod(x, F.lit(dim)) == d, F.when(F.shiftright(x, 40) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    raw = df.withColumn("_h", h).withColumn("_v", slots)
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
-    return raw.withColumn(out, F.transform("_v", lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))).drop("_h", "_v")
+    """A deterministic stand-in for an embedding model: signed feature hashing of terms, unit length; one pass over the terms."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column(b.num_columns - 1)
+            size, flat = h.value_lengths().to_numpy(zero_copy_only=False), h.flatten().to_numpy(zero_copy_only=False)
+            v = np.zeros((b.num_rows, dim))
+            np.add.at(v, (np.repeat(np.arange(b.num_rows), size), flat % dim), np.where(flat // dim % 2 == 0, 1.0, -1.0))
+            norm = np.linalg.norm(v, axis=1)
+            v /= np.where(norm == 0, 1, norm)[:, None]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dim), pa.int32()), pa.array(v.ravel(), pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], names=[*b.schema.names[:-1], out])
+
+    h = F.transform(terms(F.coalesce(F.col(text), F.lit(""))), lambda w: F.conv(F.left(F.md5(w.cast("binary")), F.lit(8)), 16, 10).cast("bigint"))
+    rows = df.drop(out) if out in df.columns else df
+    schema = StructType([*rows.schema.fields, StructField(out, ArrayType(DoubleType()))])
+    return rows.withColumn("_h", h).mapInArrow(work, schema)
 
 
 # ---- text -----------------------------------------------------------------------------------------------------------------
@@ -107,6 +149,16 @@ def text_search(queries: DataFrame, index: DataFrame, k: int = DEFAULT.text_limi
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
+def hybrid_retrieve(asked: DataFrame, chunks: DataFrame, weights: dict[str, float] | None = None, s: Settings = DEFAULT) -> DataFrame:
+    """(query_id, rank, doc_id, rrf_score): vector and text search of questions (query_id, question) over chunks (doc_id, text), fused."""
+    named = chunks.select("doc_id", F.col("doc_id").cast("string").alias("vec_id"), "text")
+    near = vector_search(hashed_embedding(asked.select("query_id", "question"), "question"), hashed_embedding(named.select("vec_id", "text"), "text").select("vec_id", "embedding"), s.vector_limit, None)
+    near = near.select("query_id", F.lit("vector").alias("list"), "rank", F.col("vec_id").alias("doc_id"))
+    found = text_search(asked.select("query_id", F.col("question").alias("text")), postings(chunks), s.text_limit)
+    found = found.select("query_id", F.lit("bm25").alias("list"), "rank", F.col("doc_id").cast("string").alias("doc_id"))
+    return rrf_merge(near.unionByName(found), weights or {"vector": 0.75, "bm25": 0.25}, s)
+
+
 # ---- fusion, re-scoring, budget --------------------------------------------------------------------------------------------
 
 

@@ -215,8 +215,11 @@ def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLEAN = f"CASE WHEN section IN ('', ' > ') THEN 'General' ELSE {sql_strip("regexp_replace(section, '^( > )+', '')")} END"
 
 
-@core(f"""WITH {CHUNKS}, po AS (SELECT *, {_CLEAN} AS sec, row_number() OVER (PARTITION BY doc_id ORDER BY first_order, chunk_id) - 1 AS i FROM chunk), ix AS (SELECT *, '[SECTION]: ' || sec || chr(10) || '[CONTENT]: ' || text AS stored, list_transform(images, lambda g, k: 'img' || (k - 1) || '_' || chunk_id || '_' || i) AS ids FROM po)
- SELECT chunk_id || '_' || i AS id, doc_id, document, sec AS section, token_count, chunk_id, text AS text_content, ids AS images, stored || CASE WHEN len(ids) > 0 THEN chr(10) || '[FIGURE_DESCRIPTIONS]' || chr(10) || array_to_string(list_transform(ids, lambda g, k: '[' || (k - 1) || '] ' || chr(10)), '') ELSE '' END AS search_content FROM ix""")
+INDEX = f"""WITH {CHUNKS}, po AS (SELECT *, {_CLEAN} AS sec, row_number() OVER (PARTITION BY doc_id ORDER BY first_order, chunk_id) - 1 AS i FROM chunk), ix AS (SELECT *, '[SECTION]: ' || sec || chr(10) || '[CONTENT]: ' || text AS stored, list_transform(images, lambda g, k: 'img' || (k - 1) || '_' || chunk_id || '_' || i) AS ids FROM po)
+ SELECT chunk_id || '_' || i AS id, doc_id, document, sec AS section, token_count, chunk_id, text AS text_content, ids AS images, stored || CASE WHEN len(ids) > 0 THEN chr(10) || '[FIGURE_DESCRIPTIONS]' || chr(10) || array_to_string(list_transform(ids, lambda g, k: '[' || (k - 1) || '] ' || chr(10)), '') ELSE '' END AS search_content FROM ix"""
+
+
+@core(INDEX)
 def build_index_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index records of the semantic chunks: section, stored text, image ids, embedded text."""
     return I.index_data(hsf(spark, sf_dir))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import retrieval as R
 from leafmill.plans.base import core
-from leafmill.runtime import table
+from leafmill.plans.chunks import INDEX
+from leafmill.runtime import cut, table
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,15 +137,37 @@ def multi_stages_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.greedy_budget(_reranked(spark, sf_dir))
 
 
-@core()
-def hybrid_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From questions to chunks within a budget: own vectors and BM25 over all chunks, fused, re-scored, cut."""
-    asked = table(spark, sf_dir, "questions").where("query_id % 20 = 0")
-    c = chunks(spark, sf_dir).withColumn("vec_id", F.xxhash64("doc_id"))
-    q = R.hashed_embedding(asked.select("query_id", "question"), "question").select("query_id", "embedding")
-    near = R.vector_search(q, R.hashed_embedding(c, "text").select("vec_id", "embedding"), threshold=None)
-    near = near.join(c.select("vec_id", "doc_id"), "vec_id").select("query_id", F.lit("vector").alias("list"), "rank", "doc_id")
-    found = R.text_search(asked.select("query_id", F.col("question").alias("text")), R.postings(c)).select("query_id", F.lit("bm25").alias("list"), "rank", "doc_id")
-    fused = R.rrf_merge(near.unionByName(found), {"vector": 0.75, "bm25": 0.25})
-    rows = fused.join(c.select("doc_id", "text", "n_images"), "doc_id").join(asked.select("query_id", "question"), "query_id")
+def _hybrid_sql(chunk: str) -> str:
+    """Both searches over chunks c (doc_id, text, n_images), fused, re-scored and cut to the budget; hashed vectors slot by slot."""
+    vectors = lambda key, src: f"SELECT {key}, v % 64 AS slot, sum(CASE WHEN v // 64 % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS x FROM (SELECT {key}, ('0x' || left(md5(unnest(w)), 8))::BIGINT AS v FROM {src}) GROUP BY ALL"
+    bm25 = _BM25[_BM25.index(" w AS (") :]
+    return f"""c AS ({chunk}),{bm25}, q0 AS (SELECT query_id, {_W.format("coalesce(question, '')")} AS w FROM questions WHERE query_id % 20 = 0 AND query_id IS NOT NULL),
+     dv AS ({vectors("doc_id", "w")}), qv AS ({vectors("query_id", "q0")}), dn AS (SELECT doc_id, sqrt(sum(x * x)) AS m FROM dv GROUP BY ALL), qn AS (SELECT query_id, sqrt(sum(x * x)) AS m FROM qv GROUP BY ALL),
+     dot AS (SELECT query_id, doc_id, sum(qv.x * dv.x) AS y FROM qv JOIN dv USING (slot) GROUP BY ALL),
+     vs AS (SELECT q0.query_id, c.doc_id, round(coalesce(y / nullif(qn.m * dn.m, 0), 0), 6) AS sim FROM q0 CROSS JOIN c LEFT JOIN dot USING (query_id, doc_id) LEFT JOIN qn USING (query_id) LEFT JOIN dn USING (doc_id)),
+     vr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank FROM vs),
+     li AS (SELECT query_id, 1 AS turn, doc_id, rank FROM vr WHERE rank <= 30 UNION ALL SELECT query_id, 2, doc_id, rank FROM t WHERE rank <= 30),
+     fm AS (SELECT query_id, doc_id, round(sum(CASE turn WHEN 1 THEN 0.75 ELSE 0.25 END / (60 + rank)), 9) AS rrf_score, min({{'turn': turn, 'first': rank}}) AS seen FROM li GROUP BY ALL),
+     f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, seen.turn, seen.first, doc_id)::INT AS rank FROM fm),
+     docs AS (SELECT query_id, doc_id, text, n_images FROM f JOIN c USING (doc_id)), {_RERANK}"""
+
+
+def _answerable(asked: DataFrame, c: DataFrame) -> DataFrame:
+    """The fused list with texts and questions, re-scored and cut to the budget."""
+    rows = R.hybrid_retrieve(asked, c).join(c.select("doc_id", "text", "n_images"), "doc_id").join(asked.select("query_id", "question"), "query_id")
     return R.greedy_budget(R.rerank(rows, R.overlap_score(F.col("question"), F.col("text"))))
+
+
+@core("WITH RECURSIVE " + _hybrid_sql("SELECT doc_id, r.text AS text, len(r.images) AS n_images FROM (SELECT doc_id, max({'text': text, 'images': coalesce(metadata.images, [])}) AS r FROM hits WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id)") + _budget_sql("SELECT query_id, rank, doc_id, text, n_images FROM z"))
+def hybrid_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From questions to chunks within a budget: own vectors and BM25 over all retrieved chunks, fused, re-scored, cut."""
+    return _answerable(table(spark, sf_dir, "questions").where("query_id % 20 = 0"), chunks(spark, sf_dir))
+
+
+@core(f"WITH RECURSIVE ix_ AS ({INDEX}), " + _hybrid_sql("SELECT id AS doc_id, search_content AS text, len(images) AS n_images FROM ix_") + _budget_sql("SELECT query_id, rank, doc_id, text, n_images FROM z"))
+def ask_own_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way: elements to semantic chunks, their index records, both searches over them, and the chunks for each question."""
+    from leafmill.plans.chunks import build_index_data
+
+    index = cut(build_index_data(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("search_content").alias("text"), F.size("images").alias("n_images")))
+    return _answerable(table(spark, sf_dir, "questions").where("query_id % 20 = 0"), index)
