@@ -79,6 +79,11 @@ def first_list_item(t: Column) -> Column:
     return F.when(F.size(items) > 0, F.element_at(items, 1)).otherwise(F.element_at(lines, 1))
 
 
+def id_unit(kind: Column, t: Column) -> Column:
+    """The part of an element that its id is made of: a list's first item, else the first sentence."""
+    return F.when(kind == "list_item", first_list_item(t)).otherwise(first_sentence(t))
+
+
 def normalize_docname(t: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(strip(t)), r"(?U)\s+", "_"), "[^a-z0-9_]", "")
 

@@ -33,6 +33,42 @@ def image_quota(docs: DataFrame, images: DataFrame, s: Settings = DEFAULT) -> Da
     return met.withColumn("used", before).where(F.col("used") < s.max_images_per_call).select("query_id", "rank", "pos", "img_id", "found")
 
 
+def image_lookup(asked: DataFrame, store: DataFrame) -> DataFrame:
+    """(img_id, base64): the stored images among those asked for, each once; nothing asked gives nothing."""
+    ids = asked.select(F.col("img_id").alias("a_id")).where("a_id is not null").distinct()
+    found = store.where("img_id is not null").groupBy("img_id").agg(F.min("base64").alias("base64"))
+    return found.join(ids, F.col("img_id") == F.col("a_id"), "left_semi")
+
+
+def content_inputs(docs: DataFrame, questions: DataFrame, store: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """(query_id, n, type, text, image_url): what a model is given for a question, part by part.
+
+    A header, every chunk (query_id, rank, text, images) under its number, after it the labels of its images and those that are
+    stored, as long as the quota over all chunks lasts, and the question (query_id, question). A question without
+    chunks still has header and question.
+    """
+    nothing = F.lit(None).cast("string")
+    part = lambda df, rank, pos, kind, text, url=nothing: df.select("query_id", rank.cast("int").alias("rank"), F.lit(pos[0]).alias("level"), pos[1].cast("int").alias("pos"), F.lit(pos[2]).alias("turn"), F.lit(kind).alias("type"), text.alias("text"), url.alias("image_url"))
+    zero = F.lit(0)
+    at = F.row_number().over(W.partitionBy("query_id").orderBy("rank")) - 1
+    asked = questions.where("query_id is not null").groupBy("query_id").agg(F.max("question").alias("question"))
+    shown = image_quota(docs, store, s)
+    url = image_lookup(shown.where("found").select("img_id"), store).select(F.col("img_id").alias("u_id"), "base64")
+    urls = shown.where("found").join(url, F.col("img_id") == F.col("u_id"))
+    rows = part(asked, F.lit(-1), (0, zero, 0), "input_text", F.lit("### CONTEXT DOCUMENTS\n"))
+    rows = rows.unionByName(part(docs.withColumn("at", at), F.col("rank"), (0, zero, 0), "input_text", F.concat(F.lit("\n["), F.col("at").cast("string"), F.lit("]\n"), F.coalesce("text", F.lit("")), F.lit("\n"))))
+    rows = rows.unionByName(part(shown, F.col("rank"), (1, F.col("pos"), 0), "input_text", F.concat(F.lit("\n\nImage: "), "img_id")))
+    rows = rows.unionByName(part(urls, F.col("rank"), (1, F.col("pos"), 1), "input_image", nothing, F.col("base64")))
+    rows = rows.unionByName(part(asked, F.lit(2**31 - 1), (0, zero, 0), "input_text", F.concat(F.lit("### USER QUESTION\n"), F.coalesce("question", F.lit("")), F.lit("\n### ANSWER"))))
+    n = F.row_number().over(W.partitionBy("query_id").orderBy("rank", "level", "pos", "turn")) - 1
+    return rows.withColumn("n", n).select("query_id", "n", "type", "text", "image_url")
+
+
+def chat_parts(parts: DataFrame) -> DataFrame:
+    """The same parts under the names of chat interfaces."""
+    return parts.withColumn("type", F.when(F.col("type") == "input_text", "text").when(F.col("type") == "input_image", "image_url").otherwise(F.col("type")))
+
+
 def build_context(docs: DataFrame) -> DataFrame:
     """(query_id, context): the numbered texts of a question's chunks (query_id, rank, text), joined in rank order."""
     part = F.concat(F.lit("\n["), (F.row_number().over(W.partitionBy("query_id").orderBy("rank")) - 1).cast("string"), F.lit("]\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
@@ -79,6 +115,38 @@ def generate(questions: DataFrame, strict: Callable, evidence: Callable, repair:
     return questions.select(F.col("query_id").cast("bigint"), "question", "context").mapInArrow(work, "query_id bigint, answer string, pass int")
 
 
+def described(replies: DataFrame) -> DataFrame:
+    """(img_id, description) from a model's replies (raw), JSON lists of such; malformed replies give nothing, of repeated ids the first in order of text holds."""
+    rows = replies.select(F.explode(F.from_json("raw", "array<struct<img_id:string,description:string>>")).alias("d")).select("d.img_id", "d.description")
+    return rows.where("img_id is not null").groupBy("img_id").agg(F.min("description").alias("description"))
+
+
+def converse(routed: DataFrame, contexts: DataFrame, small_talk: Callable[[str], str], strict: Callable, evidence: Callable, repair: Callable, parse: Callable, retrieve: str = "need_retrieve") -> DataFrame:
+    """(query_id, route, answer, pass): a conversation's turns (query_id, question, route), answered by their route.
+
+    Turns that need retrieval get the two passes over their context (query_id, context); others are small talk, pass 0, or an
+    abstention where the model fails. A turn without an answer has an empty list of segments, which renders as nothing.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import json
+
+        for b in batches:
+            out = []
+            for q, route, context in zip(b.column("question").to_pylist(), b.column("route").to_pylist(), b.column("context").to_pylist(), strict=True):
+                if route == retrieve:
+                    out.append(two_pass(q or "", context or "", strict, evidence, repair, parse))
+                    continue
+                try:
+                    out.append(([{"role": "paragraph", "segment": small_talk(q or ""), "type": "conversational"}], 0))
+                except Exception:  # whatever a model's client raises
+                    out.append(([{"role": "paragraph", "segment": "", "type": "abstained"}], 0))
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("route"), pa.array([json.dumps(a, ensure_ascii=False) for a, _ in out], pa.string()), pa.array([n for _, n in out], pa.int32())], names=["query_id", "route", "answer", "pass"])
+
+    rows = routed.select(F.col("query_id").cast("bigint").alias("query_id"), "question", F.col("route").cast("string").alias("route")).join(contexts.select(F.col("query_id").alias("c_id"), "context"), F.col("query_id") == F.col("c_id"), "left")
+    return rows.select("query_id", "question", "route", "context").mapInArrow(work, "query_id bigint, route string, answer string, pass int")
+
+
 def vanilla(reply: Column, failed: Column) -> Column:
     """One conversational segment, or an abstention where the model failed."""
     return F.array(F.struct(F.lit("paragraph").alias("role"), F.when(failed, F.lit("")).otherwise(reply).alias("segment"), F.when(failed, F.lit("abstained")).otherwise(F.lit("conversational")).alias("type")))
@@ -178,11 +246,33 @@ def validate_segments(citations: DataFrame, good: DataFrame) -> DataFrame:
     return s.withColumn("verdict", verdict)
 
 
-def filter_segments(judged: DataFrame) -> DataFrame:
-    """Segments that stay: dropped ones go, and an answer of which only introductions are left goes as a whole."""
+def segment_maps(citations: DataFrame, parts: DataFrame, images: DataFrame) -> DataFrame:
+    """(query_id, seg_no, kind, doc_id, items): for each segment what it cites of each chunk, texts and images, in citation order.
+
+    ``parts`` (citation_id, part_no, doc_id, part) with a place for every part, else the citation is invalid; ``images``
+    (citation_id, img_id, doc_id), where evidence of the question has no chunk.
+    """
+    c = citations.where("citation_id is not null").groupBy(F.col("citation_id").alias("c_id")).agg(F.max(F.struct("answered_at", "query_id", "seg_no", "cite_no")).alias("r")).select("c_id", "r.query_id", "r.seg_no", "r.cite_no")
+    bad = parts.where("doc_id is null").select(F.col("citation_id").alias("b_id")).distinct()
+    texts = parts.join(bad, F.col("citation_id") == F.col("b_id"), "left_anti").select("citation_id", F.lit("texts").alias("kind"), "doc_id", F.col("part_no").alias("no"), F.col("part").alias("item"))
+    every = texts.unionByName(images.select("citation_id", F.lit("images").alias("kind"), "doc_id", F.lit(0).alias("no"), F.col("img_id").alias("item")))
+    met = every.join(c, F.col("citation_id") == F.col("c_id"))
+    items = met.groupBy("query_id", "seg_no", "kind", "doc_id").agg(F.sort_array(F.collect_list(F.struct("cite_no", "citation_id", "no", "item"))).alias("m"))
+    return items.select("query_id", "seg_no", "kind", "doc_id", F.transform("m", lambda x: x["item"]).alias("items"))
+
+
+def filter_segments(judged: DataFrame, abstained: DataFrame | None = None) -> DataFrame:
+    """Segments that stay: dropped ones go, and an answer of which only introductions are left goes as a whole.
+
+    Answers whose only segment abstains (query_id in ``abstained``) pass as they are.
+    """
     kept = judged.where("verdict <> 'dropped'")
     more = kept.where("verdict <> 'intro'").select("query_id").distinct()
-    return kept.join(more, "query_id", "left_semi")
+    out = kept.join(more, "query_id", "left_semi")
+    if abstained is None:
+        return out
+    as_is = abstained.select("query_id").distinct()
+    return out.join(as_is, "query_id", "left_anti").unionByName(judged.join(as_is, "query_id", "left_semi"))
 
 
 def render_segments(segments: DataFrame) -> DataFrame:

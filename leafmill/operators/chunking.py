@@ -215,6 +215,15 @@ def semantic_chunks(units: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return in_groups(small.unionByName(large), ["doc_id", "top", "block", "stretch"], ["atomic_order", "id"], lambda rows: _chunks_of(rows, s), _CHUNK)
 
 
+def merge_chunks(a: Column, b: Column) -> Column:
+    """Two chunks (chunk_id, text, token_count, images) as one: the range of ids from the first's beginning to the second's end."""
+    shape = r"^(.*__chunk_)(\d+)_(\d+)$"
+    spliced = F.concat(F.regexp_extract(a["chunk_id"], shape, 1), F.regexp_extract(a["chunk_id"], shape, 2), F.lit("_"), F.regexp_extract(b["chunk_id"], shape, 3))
+    both = a["chunk_id"].rlike(shape) & b["chunk_id"].rlike(shape)
+    name = F.when(both, spliced).otherwise(F.concat(a["chunk_id"], F.lit("__merged__"), b["chunk_id"]))
+    return F.struct(name.alias("chunk_id"), F.concat(a["text"], F.lit("\n\n"), b["text"]).alias("text"), (a["token_count"] + b["token_count"]).alias("token_count"), F.concat(a["images"], b["images"]).alias("images"))
+
+
 # ---- fixed windows --------------------------------------------------------------------------------------------------------
 
 

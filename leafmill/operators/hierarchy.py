@@ -63,7 +63,7 @@ def assign_nodes(headings: DataFrame, nodes: DataFrame, threshold: int = 90, str
     ``headings`` has (doc_id, atomic_order, title[, page]), ``nodes`` (doc_id, pre, title[, page]). The next expected entry is
     the only one a heading may open; with ``strict`` an entry that never appears stalls all after it, otherwise a
     heading may also open a later entry, the first equal one or else the first similar one, which passes over those
-    between. Pages must agree where both are known. Only headings and entries take part in this fold, one document at a time.
+    between. Entries for the cover are passed over. Pages must agree where both are known. Only headings and entries take part in this fold, one document at a time.
     """
     page = lambda df: F.col("page").cast("int") if "page" in df.columns else F.lit(None).cast("int")
     left = headings.select("doc_id", F.lit(0).alias("kind"), F.col("atomic_order").cast("int").alias("pos"), X.normalize_title(F.col("title")).alias("t"), page(headings).alias("page"))
@@ -90,7 +90,7 @@ def assign_nodes(headings: DataFrame, nodes: DataFrame, threshold: int = 90, str
                 nxt = hit + 1
         return out
 
-    rows = left.unionByName(right).where("doc_id is not null and pos is not null")
+    rows = left.unionByName(right.where("t <> 'cover'")).where("doc_id is not null and pos is not null")
     return in_groups(rows, ["doc_id"], ["kind", "pos", "t"], fold, "doc_id string, atomic_order int, pre int")
 
 

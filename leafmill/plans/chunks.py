@@ -207,19 +207,47 @@ def _pack_sql() -> str:
 CHUNKS = _pack_sql()
 
 
-@core(f"WITH {CHUNKS} SELECT * FROM chunk")
+@core(f"WITH {CHUNKS} SELECT * REPLACE (array_to_string(images, chr(10)) AS images) FROM chunk")
 def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hsf(spark, sf_dir)
+    """Hierarchical-semantic chunks, their images one a line."""
+    return hsf(spark, sf_dir).withColumn("images", F.array_join("images", "\n"))
+
+
+@core(f"""WITH {CHUNKS}, nx AS (SELECT *, lead(chunk_id) OVER w AS b, lead(text) OVER w AS tb, lead(token_count) OVER w AS nb, lead(images) OVER w AS ib FROM chunk WINDOW w AS (PARTITION BY doc_id ORDER BY first_order, chunk_id)),
+ mg AS (SELECT *, regexp_extract(chunk_id, '^(.*__chunk_)(\\d+)_(\\d+)$', 1) AS p, regexp_extract(chunk_id, '^(.*__chunk_)(\\d+)_(\\d+)$', 2) AS s, regexp_extract(b, '^(.*__chunk_)(\\d+)_(\\d+)$', 3) AS e FROM nx WHERE b IS NOT NULL)
+ SELECT doc_id, CASE WHEN p <> '' AND e <> '' THEN p || s || '_' || e ELSE chunk_id || '__merged__' || b END AS chunk_id, text || chr(10) || chr(10) || tb AS text, (token_count + nb)::INT AS token_count, len(images) + len(ib) AS n_images FROM mg""")
+def merge_chunk_to_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every semantic chunk merged with the one that follows it in its document."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("doc_id").orderBy("first_order", "chunk_id")
+    c = hsf(spark, sf_dir)
+    after = F.struct("chunk_id", "text", "token_count", "images")
+    pairs = c.withColumn("b", F.lead(after).over(w)).where("b is not null")
+    m = pairs.select("doc_id", C.merge_chunks(F.struct("chunk_id", "text", "token_count", "images"), F.col("b")).alias("m"))
+    return m.select("doc_id", "m.chunk_id", "m.text", "m.token_count", F.size("m.images").cast("bigint").alias("n_images"))
 
 
 _CLEAN = f"CASE WHEN section IN ('', ' > ') THEN 'General' ELSE {sql_strip("regexp_replace(section, '^( > )+', '')")} END"
 
 
 INDEX = f"""WITH {CHUNKS}, po AS (SELECT *, {_CLEAN} AS sec, row_number() OVER (PARTITION BY doc_id ORDER BY first_order, chunk_id) - 1 AS i FROM chunk), ix AS (SELECT *, '[SECTION]: ' || sec || chr(10) || '[CONTENT]: ' || text AS stored, list_transform(images, lambda g, k: 'img' || (k - 1) || '_' || chunk_id || '_' || i) AS ids FROM po)
- SELECT chunk_id || '_' || i AS id, doc_id, document, sec AS section, token_count, chunk_id, text AS text_content, ids AS images, stored || CASE WHEN len(ids) > 0 THEN chr(10) || '[FIGURE_DESCRIPTIONS]' || chr(10) || array_to_string(list_transform(ids, lambda g, k: '[' || (k - 1) || '] ' || chr(10)), '') ELSE '' END AS search_content FROM ix"""
+ SELECT chunk_id || '_' || i AS id, doc_id, document, sec AS section, token_count, chunk_id, text AS text_content, array_to_string(ids, chr(10)) AS images, stored || CASE WHEN len(ids) > 0 THEN chr(10) || '[FIGURE_DESCRIPTIONS]' || chr(10) || array_to_string(list_transform(ids, lambda g, k: '[' || (k - 1) || '] ' || chr(10)), '') ELSE '' END AS search_content FROM ix"""
 
 
 @core(INDEX)
 def build_index_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index records of the semantic chunks: section, stored text, image ids, embedded text."""
+    return index(spark, sf_dir).withColumn("images", F.array_join("images", "\n"))
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.index_data(hsf(spark, sf_dir))
+
+
+@core(f"WITH l AS ({LATEST}), {_split_sql()}, k AS (SELECT p.id, (generate_subscripts(ps, 1) - 1)::INT AS k, unnest(ps) AS text FROM p JOIN l ON l.id = p.id WHERE type = 'text' UNION ALL SELECT id, 0, content FROM l WHERE coalesce(type, '') <> 'text' AND length(content) > 0) SELECT id, k, text, {sql_tokens('text')} AS token_count FROM k")
+def fixed_size_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in overlapping parts of bounded size, elements of other types as one part each."""
+    rows = latest(spark, sf_dir).select("id", "type", "content")
+    other = rows.where((F.coalesce("type", F.lit("")) != "text") & (F.length("content") > 0))
+    return I.text_parts(rows.where("type = 'text'")).unionByName(other.select("id", F.lit(0).alias("k"), F.col("content").alias("text"), X.token_count(F.col("content")).alias("token_count")))

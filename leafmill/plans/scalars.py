@@ -31,8 +31,10 @@ _scalar("clean_text", X.clean_text, sql_strip(r"replace(replace(t, chr(160), ' '
 _scalar("make_id", X.make_id, f"md5({sql_collapse('t')})")
 _S = sql_strip("t")
 _scalar("is_text_incomplete", X.is_text_incomplete, sql_incomplete("t", X.DANGLING))
-_scalar("first_sentence", X.first_sentence, rf"coalesce(nullif(regexp_extract({_S}, '(.+?[.!?])({WS}|$)', 1), ''), {_S})")
-_scalar("first_list_item", X.first_list_item, rf"coalesce(list_filter(list_transform(string_split_regex({_S}, '\r\n|\n|\r'), lambda x: {sql_strip('x')}), lambda x: regexp_matches(x, '^[-*•]'))[1], {sql_strip(rf"string_split_regex({_S}, '" + chr(92) + "r" + chr(92) + "n|" + chr(92) + "n|" + chr(92) + "r')[1]")})")
+_SENTENCE = rf"coalesce(nullif(regexp_extract({_S}, '(.+?[.!?])({WS}|$)', 1), ''), {_S})"
+_ITEM = rf"coalesce(list_filter(list_transform(string_split_regex({_S}, '\r\n|\n|\r'), lambda x: {sql_strip('x')}), lambda x: regexp_matches(x, '^[-*•]'))[1], {sql_strip(rf"string_split_regex({_S}, '" + chr(92) + "r" + chr(92) + "n|" + chr(92) + "n|" + chr(92) + "r')[1]")})"
+_scalar("first_sentence", X.first_sentence, _SENTENCE)
+_scalar("first_list_item", X.first_list_item, _ITEM)
 _scalar("normalize_text", X.normalize_text, sql_norm("t"))
 _scalar("safe_query", X.safe_query, sql_collapse(r"regexp_replace(t, '[^\p{L}\p{M}\p{N}_\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', ' ', 'g')"))
 _scalar("normalize_docname", X.normalize_docname, rf"regexp_replace(regexp_replace(lower({_S}), '{WS}+', '_', 'g'), '[^a-z0-9_]', '', 'g')")
@@ -70,3 +72,10 @@ def format_element(spark: SparkSession, sf_dir: str) -> DataFrame:
 @core("SELECT DISTINCT doc_id AS id, '[SECTION]: ' || metadata.section || chr(10) || '[CONTENT]: ' || coalesce(text, '') AS out FROM hits")
 def store_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "hits").select(F.col("doc_id").alias("id"), X.store_text(F.col("metadata.section"), F.col("text")).alias("out")).distinct()
+
+
+@core(f"WITH e AS (SELECT DISTINCT id, type, content AS t FROM atomic_elements WHERE id IS NOT NULL AND content IS NOT NULL) SELECT id, type, CASE WHEN type = 'list_item' THEN {_ITEM} ELSE {_SENTENCE} END AS out FROM e")
+def id_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of every element that its id is made of."""
+    rows = table(spark, sf_dir, "atomic_elements").where("id is not null and content is not null")
+    return rows.select("id", "type", X.id_unit(F.col("type"), F.col("content")).alias("out")).distinct()

@@ -164,10 +164,10 @@ def hybrid_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answerable(table(spark, sf_dir, "questions").where("query_id % 20 = 0"), chunks(spark, sf_dir))
 
 
-@core(f"WITH RECURSIVE ix_ AS ({INDEX}), " + _hybrid_sql("SELECT id AS doc_id, search_content AS text, len(images) AS n_images FROM ix_") + _budget_sql("SELECT query_id, rank, doc_id, text, n_images FROM z"))
+@core(f"WITH RECURSIVE ix_ AS ({INDEX}), " + _hybrid_sql("SELECT id AS doc_id, search_content AS text, CASE WHEN images = '' THEN 0 ELSE len(string_split(images, chr(10))) END AS n_images FROM ix_") + _budget_sql("SELECT query_id, rank, doc_id, text, n_images FROM z"))
 def ask_own_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way: elements to semantic chunks, their index records, both searches over them, and the chunks for each question."""
-    from leafmill.plans.chunks import build_index_data
+    from leafmill.plans.chunks import index as own_index
 
-    index = cut(build_index_data(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("search_content").alias("text"), F.size("images").alias("n_images")))
+    index = cut(own_index(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("search_content").alias("text"), F.size("images").alias("n_images")))
     return _answerable(table(spark, sf_dir, "questions").where("query_id % 20 = 0"), index)

@@ -66,7 +66,7 @@ def bare(x: str) -> str:
 #: Similar titles by their longest common subsequence, a bit per character of the heading; the fold takes entries in order.
 PLACED = f"""l AS (SELECT * REPLACE (coalesce(atomic_order, 0) AS atomic_order), {_SIZE} AS size FROM ({LATEST}) WHERE doc_id IS NOT NULL),
  hd AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY atomic_order, t) AS k FROM (SELECT doc_id, atomic_order, {bare('content')} AS t FROM l WHERE type = 'section_header' AND heading_type = 'main')),
- en AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pre, t) AS i FROM (SELECT doc_id, pre, {bare('title')} AS t FROM n)),
+ en AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pre, t) AS i FROM (SELECT doc_id, pre, {bare('title')} AS t FROM n) WHERE t <> 'cover'),
  he AS (SELECT h.doc_id, h.k, h.atomic_order, en.i, h.t = en.t AS same, h.t AS a, en.t AS b FROM hd h JOIN en USING (doc_id) WHERE h.t = en.t OR 2.0 * least(length(h.t), length(en.t)) >= 0.9 * (length(h.t) + length(en.t))),
  lc AS (SELECT *, list_reduce(list_prepend((1::HUGEINT << length(a)) - 1, list_transform(string_split(b, ''), lambda c: list_sum(list_transform(range(length(a)), lambda p: CASE WHEN substring(a, p + 1, 1) = c THEN 1::HUGEINT << p::INT ELSE 0::HUGEINT END))::HUGEINT)),
    lambda r, m: ((r + (r & m)) | (r - (r & m))) & ((1::HUGEINT << length(a)) - 1)) AS r FROM he WHERE NOT same AND length(a) BETWEEN 1 AND 120 AND b <> ''),

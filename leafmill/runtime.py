@@ -89,8 +89,8 @@ def latest_by_id(df: DataFrame, key: str, order: list[str], keep: list[str]) ->
     )
 
 
-def distributed_rank(df: DataFrame, group: list[str], order: list[Column], rank: str, total: str | None = None) -> DataFrame:
-    """Add the 1-based position of each row in its group's order, without bringing a group into one task.
+def distributed_rank(df: DataFrame, group: list[str], order: list[Column], rank: str, total: str | None = None, weight: str | None = None) -> DataFrame:
+    """Add the 1-based position of each row in its group's order, or the running sum of ``weight``, without bringing a group into one task.
 
     Rows are range-partitioned by group and order, so a hot group is spread over many tasks. Each task numbers its
     own piece; the sizes of the pieces, one small row per (task, group), give the offsets. ``order`` must be total
@@ -98,8 +98,9 @@ def distributed_rank(df: DataFrame, group: list[str], order: list[Column], rank:
     """
     keys = [F.col(g) for g in group]
     placed = cut(df.repartitionByRange(*keys, *order).withColumn("_pid", F.spark_partition_id()))
-    local = placed.withColumn("_rn", F.row_number().over(W.partitionBy("_pid", *group).orderBy(*order)))
-    sizes = placed.groupBy("_pid", *group).agg(F.count("*").alias("_n"))
+    line = W.partitionBy("_pid", *group).orderBy(*order)
+    local = placed.withColumn("_rn", F.sum(weight).over(line.rowsBetween(W.unboundedPreceding, 0)) if weight else F.row_number().over(line))
+    sizes = placed.groupBy("_pid", *group).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     by_group = W.partitionBy(*group)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(by_group.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     offsets = offsets.withColumn("_total", F.sum("_n").over(by_group)).drop("_n")

@@ -294,3 +294,60 @@ def _sections(rows):
                     now = ""
                 now = f"{now}\n\n{p}" if now else p
         yield [*out, now] if now.strip() else out
+
+
+def test_merged_chunks_and_later_similar_headings(spark):
+    c = "struct<chunk_id:string,text:string,token_count:int,images:array<string>>"
+    rows = spark.createDataFrame([(("d__chunk_1_3", "a", 2, ["i"]), ("d__chunk_4_6", "b", 3, [])), (("d__chunk_1_3", "a", 2, []), ("odd", "b", 3, ["j"]))], f"a {c}, b {c}")
+    got = [r.m for r in rows.select(C.merge_chunks(F.col("a"), F.col("b")).alias("m")).collect()]
+    assert [(m.chunk_id, m.text, m.token_count, m.images) for m in got] == [("d__chunk_1_6", "a\n\nb", 5, ["i"]), ("d__chunk_1_3__merged__odd", "a\n\nb", 5, ["j"])]
+    heads = spark.createDataFrame([("d", 1, "Alpha"), ("d", 5, "The gamma of long rivers")], "doc_id string, atomic_order int, title string")
+    nodes = spark.createDataFrame([("d", 0, "Cover"), ("d", 1, "1. Alpha"), ("d", 2, "Beta"), ("d", 3, "The gamma of long river")], "doc_id string, pre int, title string")
+    assert sorted(map(tuple, H.assign_nodes(heads, nodes).collect())) == [("d", 1, 1), ("d", 5, 3)]
+    assert sorted(map(tuple, H.assign_nodes(heads, nodes, strict=True).collect())) == [("d", 1, 1)]
+
+
+def test_conversation_and_experiment(spark, tmp_path):
+    from leafmill.sinks.stores import run_experiment, write_index
+
+    def talk(q):
+        if "?" in q:
+            raise ValueError
+        return "hello"
+
+    routed = spark.createDataFrame([(1, "hi", "chat"), (2, "why?", "chat"), (3, "what", "need_retrieve"), (4, None, None)], "query_id long, question string, route string")
+    contexts = spark.createDataFrame([(3, "ctx")], "query_id long, context string")
+    parse = lambda raw: json.loads(raw) if raw.startswith("[") else None
+    got = {r.query_id: (json.loads(r.answer), r["pass"]) for r in A.converse(routed, contexts, talk, lambda q, c: json.dumps([{"segment": c}]), lambda q, c: "[]", lambda r: r, parse).collect()}
+    assert got[1][0][0]["segment"] == "hello" and got[2][0][0]["type"] == "abstained" and got[3] == ([{"segment": "ctx"}], 1) and len(got) == 4
+    replies = spark.createDataFrame([('[{"img_id": "a", "description": "x"}, {"img_id": null}]',), ("broken [",), (None,)], "raw string")
+    assert [tuple(r) for r in A.described(replies).collect()] == [("a", "x")]
+    run = run_experiment(routed, lambda q: contexts, lambda q: q.select("query_id", F.lit("[]").alias("answer")), str(tmp_path / "log"))
+    assert run.count() == 4 and spark.read.option("header", True).csv(str(tmp_path / "log")).columns == ["question", "context", "answer", "retrieve_time_sec", "generate_time_sec"]
+    index = spark.createDataFrame([("c_0", "d", "S", 3, "c", ["img0_c_0"], "search", "text")], "id string, document string, section string, token_count int, chunk_id string, images array<string>, search_content string, text_content string")
+    images = spark.createDataFrame([("img0_c_0", "data:,x", "a figure")], "img_id string, base64 string, description string")
+    for _ in range(2):
+        write_index(index, str(tmp_path / "ix"), lambda df, t: R.hashed_embedding(df, t), images)
+    assert [spark.read.parquet(str(tmp_path / "ix" / n)).count() for n in ("chunks", "images", "vectors")] == [1, 1, 1]
+    assert A.image_lookup(images.select("img_id"), spark.read.parquet(str(tmp_path / "ix" / "images"))).first().base64 == "data:,x"
+
+
+def test_content_inputs(spark):
+    docs = spark.createDataFrame([(1, 1, "A", ["i1", "gone", "i2"]), (1, 2, None, ["i3", "i4"])], "query_id long, rank int, text string, images array<string>")
+    store = spark.createDataFrame([(f"i{k}", f"u{k}") for k in range(1, 5)], "img_id string, base64 string")
+    asked = spark.createDataFrame([(1, "why"), (2, None)], "query_id long, question string")
+    got = [(r.query_id, r.type, r.text or r.image_url) for r in A.content_inputs(docs, asked, store).orderBy("query_id", "n").collect()]
+    label = lambda x: (1, "input_text", f"\n\nImage: {x}")
+    assert got[:9] == [(1, "input_text", "### CONTEXT DOCUMENTS\n"), (1, "input_text", "\n[0]\nA\n"), label("i1"), (1, "input_image", "u1"), label("gone"), label("i2"), (1, "input_image", "u2"), (1, "input_text", "\n[1]\n\n"), label("i3")]
+    assert got[9:] == [(1, "input_image", "u3"), (1, "input_text", "### USER QUESTION\nwhy\n### ANSWER"), (2, "input_text", "### CONTEXT DOCUMENTS\n"), (2, "input_text", "### USER QUESTION\n\n### ANSWER")]
+    kinds = {r.type for r in A.chat_parts(A.content_inputs(docs, asked, store)).collect()}
+    assert kinds == {"text", "image_url"}
+
+
+def test_vectors_with_ties_and_text_ids(spark):
+    v = spark.createDataFrame([(f"v{k:03d}", [1.0, float(k % 3)]) for k in range(200)], "vec_id string, embedding array<float>").repartition(5)
+    q = spark.createDataFrame([(7, [1.0, 1.0])], "query_id long, embedding array<float>")
+    want = [f"v{k:03d}" for k in range(200) if k % 3 == 1][:10]
+    assert [r.vec_id for r in R.vector_search(q, v, k=10).orderBy("rank").collect()] == want
+    many = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(9)], "query_id long, embedding array<float>")
+    assert R.vector_search(many, v, k=2, most_bytes=64).count() == R.vector_search(many, v, k=2).count() == 18
