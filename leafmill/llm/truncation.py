@@ -3,16 +3,18 @@
 For the final context of every value, its last 1 to 6 characters read backwards, the model knows from all values of the
 same column how often that context ends a value and how often text goes on after it. The log-odds of ending
 against continuing, taken at the longest context seen often enough and without the value's own ending, is low where
-a value stops in the middle of something. Thresholds are set per language and column between the two groups of log-odds.
+a value stops in the middle of something. In tables every bar is read as the number of bars its row still lacks, so that
+the model tells a complete row from one with missing cells. A mark of the stop (an ellipsis, a lost character) after an
+open sentence is a feature that lowers the log-odds by ``MARK``. Every case has a log-odds below the threshold of its
+language and column, which lies where the histogram of log-odds, in steps of ``STEP``, is emptiest.
 
-What keeps an unmarked ending from being a case: a high log-odds (notices and other lines that often end so); a line that is
-a title, a list item, page furniture, or a pointer whose label (as "Read next:") hardly ever ends with a final mark,
-provided that its last word is whole; a next text element of the document that goes on in the middle of a sentence. A table is
-cut if its last row has not all its cells. A mark of the stop (an ellipsis, a lost character) after an open sentence is enough.
+What keeps a low log-odds from being a case: a line that is a title, a list item, page furniture, or a pointer whose
+label (as "Read next:") hardly ever ends with a final mark, provided that its last word is whole; a next text element of the
+document that goes on in the middle of a sentence; a final mark; a complete last row.
 
-Contexts are hashed into tables of ``BUCKETS`` per order and column, so the model's size does not depend on the
-corpus. Counts cover all rows. The next element is found over stretches of ``STRETCH`` places, so a document of any
-size is spread over tasks.
+Contexts, labels and the words that begin sentences are hashed into tables of ``BUCKETS`` entries, so the model's size and
+what reaches the driver do not depend on the corpus. Counts cover all rows. The next element is found over stretches of
+``STRETCH`` places, so a document of any size is spread over tasks.
 
 Defined results: null or blank contents and null ids are never cases; of a repeated id the latest row gives its place; texts are
 read whole; empty tables give no rows; a document without a source counts under a null source in the report.
@@ -26,12 +28,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.llm.scans import _HIDDEN, sample_lines, train_furniture, without_furniture
-from leafmill.runtime import cut
+from leafmill.runtime import cut, merged
 
 TYPES = ("text", "footnote", "table")
 LANGS = ("en", "vi", "fr", "es", "de")
@@ -39,6 +42,8 @@ ORDERS = (1, 2, 3, 4, 6)
 BUCKETS = 1 << 18
 STRETCH = 256
 ENOUGH = 20
+MARK = 8.0
+STEP = 0.25
 _MARK = re.compile(r"\s*(?:…|\.\.\.|\[\s*(?:…|\.\.\.)\s*\]|�+)\s*$")
 _FINAL = set(".?!:;)]}”»\"'．？！：；）］。|")
 _STOP = set(".?!．？！。")
@@ -79,6 +84,27 @@ def tail_shape(text: str) -> str:
     return shape(text.rstrip()[-64:])[-max(ORDERS) - 1 :]
 
 
+def table_shape(text: str, last: bool = False) -> str:
+    """What the model reads of a table: its shape with every bar as a sign for the bars still due in its row; or the last rows' end."""
+    rows = [r for r in text.strip().split("\n") if r.strip()]
+    cells = rows[0].count("|")
+    out = []
+    for row in rows[-2:] if last else rows:
+        parts = row.split("|")
+        out.append(parts[0] + "".join(chr(0xE000 + max(0, cells - k)) + p for k, p in enumerate(parts[1:], 1)))
+    done = shape("\n".join(out))
+    return done[-max(ORDERS) - 1 :] if last else done
+
+
+def is_grid(text: str) -> bool:
+    return text.lstrip().startswith("|")
+
+
+def slot(word: str) -> int:
+    """The place of a label or word in the hashed tables."""
+    return xxhash.xxh3_64_intdigest(word) & (BUCKETS - 1)
+
+
 def _letters() -> np.ndarray:
     if not _ALPHA:
         _ALPHA.append(np.array([chr(c).isalpha() for c in range(0x10000)]))
@@ -149,28 +175,31 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             body, marked = open_end(t)
             if marked or not body.strip():
                 continue
-            s = tail_shape(body)
+            s = table_shape(body, True) if TYPES[ty] == "table" and is_grid(body) else tail_shape(body)
             if not s:
                 continue
             for k, bucket in enumerate(last_contexts(s)):
                 ends[ty * len(ORDERS) + k, bucket] += 1
             if s[-1] not in _FINAL:
-                labels.update(last_labels(body))
-    rows = [(str(k[0]), k[1], v) for k, v in ends.items()] + [("label:" + k, -1, v) for k, v in labels.items()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["name", "bucket", "n"])
+                labels.update(map(slot, last_labels(body)))
+    rows = [(k, b, v) for (k, b), v in ends.items()] + [(LABELS, k, v) for k, v in labels.items()]
+    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["tab", "bucket", "n"])
+
+
+#: Numbers of the hashed tables behind those of the contexts: labels, and words that begin sentences.
+LABELS = len(TYPES) * len(ORDERS)
+WORDS = LABELS + 1
 
 
 class Model:
     """End, continuation and word-break counts of the contexts that end values, in hashed tables of fixed size."""
 
-    def __init__(self, ends: dict[tuple[int, int], int], labels: dict[str, int]):
-        self.keys = sorted(ends)
-        self.ends = np.array([ends[k] for k in self.keys], np.int64)
-        self.total = np.zeros(len(self.keys), np.int64)
-        self.breaks = np.zeros(len(self.keys), np.int64)
-        self.labels, self.label_total = labels, {}
-        self.starts: dict[str, float] = {}
-        self.thresholds: dict[int, float] = {}
+    def __init__(self, keys: np.ndarray, ends: np.ndarray):
+        """``keys``: table times BUCKETS plus bucket, sorted."""
+        self.keys, self.ends = keys, ends
+        self.total, self.breaks = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        self.labels, self.label_total = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        self.words, self.heads = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         self.furniture = None
         self._tables: dict[int, np.ndarray] = {}
 
@@ -178,15 +207,24 @@ class Model:
         """Bucket to place in the counts, -1 where the context ends nothing."""
         if t not in self._tables:
             tab = np.full(BUCKETS, -1, np.int64)
-            lo = np.searchsorted([k[0] for k in self.keys], [t, t + 1])
-            for i in range(lo[0], lo[1]):
-                tab[self.keys[i][1]] = i
+            lo, hi = np.searchsorted(self.keys, [t * BUCKETS, (t + 1) * BUCKETS])
+            tab[self.keys[lo:hi] - t * BUCKETS] = np.arange(lo, hi)
             self._tables[t] = tab
         return self._tables[t]
 
     def __getstate__(self):
         return self.__dict__ | {"_tables": {}}
 
+    def pointer(self, label: str) -> bool:
+        """Whether sentences of this label hardly ever end with a final mark."""
+        k = slot(label)
+        return self.labels[k] >= max(2, 0.5 * max(self.label_total[k], 1))
+
+    def begins(self, word: str) -> float:
+        """The share of a capitalised word's occurrences that begin a sentence; 1 if it is rare."""
+        k = slot(word)
+        return self.heads[k] / self.words[k] if self.words[k] >= 5 else 1.0
+
     def odds(self, s: str, ty: int) -> tuple[float, bool]:
         """Log-odds of ending here without the value's own end, and whether the last word may be whole."""
         ctx = last_contexts(s)
@@ -215,7 +253,8 @@ def _totals(shared) -> Callable:
         for b in batches:
             groups: dict[int, list[str]] = {}
             for ty, t in _pieces(b):
-                groups.setdefault(ty, []).append(shape(open_end(t)[0]))
+                body = open_end(t)[0]
+                groups.setdefault(ty, []).append(table_shape(body) if TYPES[ty] == "table" and is_grid(body) else shape(body))
                 if ":" in t:
                     labels.update(_LABEL.findall(t))
                 if ty == 0:
@@ -234,14 +273,19 @@ def _totals(shared) -> Callable:
         some = np.flatnonzero(total)
         known: Counter = Counter()
         for k, v in labels.items():
-            known[shape(k)] += v
-        rows = [(f"label:{k}", v, 0) for k, v in known.items() if k in model.labels] + [(f"cap:{k}", v, heads[k]) for k, v in caps.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in some] + [r[0] for r in rows], pa.string()), pa.array([*total[some].tolist(), *[r[1] for r in rows]], pa.int64()), pa.array([*breaks[some].tolist(), *[r[2] for r in rows]], pa.int64())], names=["name", "n", "m"])
+            known[slot(shape(k))] += v
+        met, led = Counter(), Counter()
+        for k, v in caps.items():
+            met[slot(k)] += v
+            led[slot(k)] += heads[k]
+        rows = [(LABELS * BUCKETS + k, v, 0) for k, v in known.items() if model.labels[k]] + [(WORDS * BUCKETS + k, v, led[k]) for k, v in met.items()]
+        cols = [np.concatenate([a, np.array([r[j] for r in rows], np.int64)]) for j, a in enumerate((model.keys[some], total[some], breaks[some]))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "n", "m"])
 
     return work
 
 
-def goes_on(head: str | None, starts: dict[str, float]) -> bool:
+def goes_on(head: str | None, begins: Callable[[str], float]) -> bool:
     """Whether a text begins in the middle of a sentence: in lower case, or with a word that hardly ever begins one."""
     m = re.search(r"[^\W_]+", head or "")
     if not m:
@@ -249,8 +293,8 @@ def goes_on(head: str | None, starts: dict[str, float]) -> bool:
     w = m[0]
     if w[0].isdigit():
         nxt = re.search(r"[^\W\d_]+", head[m.end() :])
-        return bool(nxt) and (nxt[0][0].islower() or starts.get(nxt[0], 1.0) < 0.05)
-    return w[0].islower() or starts.get(w, 1.0) < 0.05
+        return bool(nxt) and (nxt[0][0].islower() or begins(nxt[0]) < 0.05)
+    return w[0].islower() or begins(w) < 0.05
 
 
 def _score(shared) -> Callable:
@@ -271,33 +315,35 @@ def _score(shared) -> Callable:
     return work
 
 
-CUT, WHOLE, ASK = 1, 0, 2
+WHOLE, ASK = 0, 1
 
 
 def judge(text: str | None, clean: str | None, ty: int, model: Model) -> tuple[int, float | None, int | None, bool, bool, bool]:
     """A text and the same without furniture: (verdict, log-odds, group, last word whole, begins in mid-sentence, passed over)."""
     if not text or text.isspace():
         return WHOLE, None, None, True, False, True
-    if ty == TYPES.index("table"):
+    group = ty * len(LANGS)
+    if TYPES[ty] == "table":
         body, marked = open_end(text)
-        rows = [r for r in text.strip().split("\n") if r.strip()]
-        cells = rows[0].count("|")
-        ragged = rows[0].lstrip().startswith("|") and (not rows[-1].rstrip().endswith("|") or rows[-1].count("|") < cells)
-        if rows[0].lstrip().startswith("|"):
-            return CUT if ragged or marked else WHOLE, None, None, True, False, True
+        if is_grid(body):
+            s = table_shape(body, True)
+            odds = model.odds(s, ty)[0] - MARK * marked
+            return WHOLE if s[-1:] == "\ue000" and not marked else ASK, odds, group + language(text), False, False, True
         clean = text
     if not clean.strip():
         return WHOLE, None, None, True, False, True
-    on = goes_on(clean[:200], model.starts)
+    on = goes_on(clean[:200], model.begins)
     body, marked = open_end(clean)
     s = tail_shape(body)
-    if not s or s[-1] in _FINAL:
-        return CUT if marked and s and s[-1] not in _STOP and text.rstrip()[-1:] == "�" else WHOLE, None, None, True, on, False
-    if marked:
-        return CUT, None, None, False, on, False
-    group = ty * len(LANGS) + language(text)
+    if not s:
+        return WHOLE, None, None, True, on, False
+    if s[-1] in _FINAL and not (marked and s[-1] not in _STOP and text.rstrip()[-1:] == "�"):
+        return WHOLE, None, None, True, on, False
+    group += language(text)
     odds, whole = model.odds(s, ty)
-    if whole and any(model.labels.get(x, 0) >= max(2, 0.5 * model.label_total.get(x, 1)) for x in last_labels(body)):
+    if marked:
+        return ASK, odds - MARK, group, False, on, False
+    if whole and any(map(model.pointer, last_labels(body))):
         return WHOLE, odds, None, whole, on, False
     if whole and "\n" not in body.strip() and _LIST.match(body):
         return WHOLE, odds, None, whole, on, False
@@ -305,29 +351,30 @@ def judge(text: str | None, clean: str | None, ty: int, model: Model) -> tuple[i
 
 
 def _valley(hist: dict[int, int]) -> float:
-    """The emptiest log-odds between the endings that are common and those that are not."""
-    least = min(range(-4, 0), key=lambda v: (hist.get(v, 0), abs(v + 2)))
-    return float(least)
+    """Where the log-odds between the endings that are common and those that are not are fewest, over a window of one; of
+    equally empty places that nearest to -2."""
+    near = lambda k: sum(hist.get(k + j, 0) for j in range(-2, 2))
+    return STEP * min(range(round(-4 / STEP), round(-1 / STEP) + 1), key=lambda k: (near(k), abs(k * STEP + 2)))
 
 
 def fit(elements: DataFrame) -> Model:
+    """The model; what comes to the driver are hashed tables, of BUCKETS entries at most each."""
     rows = _rows(elements)
-    ends, labels = {}, {}
-    for name, bucket, n in rows.mapInArrow(_ends, "name string, bucket bigint, n bigint").groupBy("name", "bucket").agg(F.sum("n").alias("n")).where("bucket >= 0 or n >= 2").toLocalIterator():
-        if bucket < 0:
-            labels[name[6:]] = n
-        else:
-            ends[int(name), bucket] = n
-    model = Model(ends, labels)
+    got = rows.mapInArrow(_ends, "tab int, bucket bigint, n bigint").groupBy("tab", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    tab, bucket, n = (got.column(c).to_numpy().astype(np.int64) for c in ("tab", "bucket", "n"))
+    key, ctx = tab * BUCKETS + bucket, tab < LABELS
+    order = np.argsort(key[ctx])
+    model = Model(key[ctx][order], n[ctx][order])
+    model.labels[bucket[~ctx]] = n[~ctx]
     sc = elements.sparkSession.sparkContext
-    counts = rows.mapInArrow(_totals(sc.broadcast(model)), "name string, n bigint, m bigint").groupBy("name").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    for name, n, m in counts.where("name not like 'cap:%' or n >= 5").toLocalIterator():
-        if name.startswith("label:"):
-            model.label_total[name[6:]] = n
-        elif name.startswith("cap:"):
-            model.starts[name[4:]] = m / n
-        else:
-            model.total[int(name)], model.breaks[int(name)] = n, m
+    got = rows.mapInArrow(_totals(sc.broadcast(model)), "key bigint, n bigint, m bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).toArrow()
+    key, n, m = (got.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "m"))
+    ctx = key < LABELS * BUCKETS
+    at = np.searchsorted(model.keys, key[ctx])
+    model.total[at], model.breaks[at] = n[ctx], m[ctx]
+    model.label_total[key[key // BUCKETS == LABELS] % BUCKETS] = n[key // BUCKETS == LABELS]
+    words = key // BUCKETS == WORDS
+    model.words[key[words] % BUCKETS], model.heads[key[words] % BUCKETS] = n[words], m[words]
     model.furniture = train_furniture(sample_lines(elements))
     return model
 
@@ -337,16 +384,17 @@ def _rows(elements: DataFrame) -> DataFrame:
 
 
 def judged(elements: DataFrame) -> DataFrame:
-    """(id, doc_id, type, truncated), one row per id."""
+    """(id, doc_id, type, log_odds, threshold, truncated), one row per id."""
     model = fit(elements)
     shared = elements.sparkSession.sparkContext.broadcast(model)
     out = "id string, doc_id string, type string, atomic_order int, created_at timestamp, verdict int, log_odds double, grp int, whole boolean, on boolean, skip boolean"
     scored = cut(_rows(elements).mapInArrow(_score(shared), out))
     hist: dict[int, dict[int, int]] = {}
-    for g, v, n in scored.where(F.col("verdict") == ASK).groupBy("grp", F.floor("log_odds").cast("int").alias("v")).count().toLocalIterator():
+    step = F.floor(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("log_odds"))) / STEP).cast("int")
+    for g, v, n in scored.where(F.col("verdict") == ASK).groupBy("grp", step.alias("v")).count().toLocalIterator():
         hist.setdefault(g, {})[v] = n
     low = F.lit(-2.0)
-    for g, h in hist.items():
+    for g, h in sorted(hist.items()):
         low = F.when(F.col("grp") == g, F.lit(_valley(h))).otherwise(low)
     fields = ["created_at", "atomic_order", "verdict", "log_odds", "grp", "whole", "on", "skip", "doc_id", "type"]
     last = scored.groupBy("id").agg(F.max(F.struct(*fields)).alias("r")).select("id", *[F.col(f"r.{f}").alias(f) for f in fields if f != "created_at"])
@@ -361,9 +409,10 @@ def judged(elements: DataFrame) -> DataFrame:
     firsts = firsts.select(F.col("doc_id").alias("n_doc"), F.col("stretch").alias("n_stretch"), F.last("f.on", ignorenulls=True).over(across).alias("far"))
     tail = ask.join(firsts, (F.col("doc_id") == F.col("n_doc")) & (F.col("stretch") == F.col("n_stretch")), "left")
     more = F.coalesce("near", "far", F.lit(False)) & F.col("whole") & (F.col("type") == "text")
-    cut_off = (F.col("verdict") == CUT) | (F.col("verdict") == ASK) & (F.col("log_odds") < low) & ~more
+    cut_off = (F.col("verdict") == ASK) & (F.col("log_odds") < low) & ~more
     found = tail.select("id", cut_off.alias("truncated")).where("truncated").select(F.col("id").alias("t_id"))
-    return last.join(found, F.col("id") == F.col("t_id"), "left").select("id", "doc_id", "type", F.col("t_id").isNotNull().alias("truncated"))
+    out = merged(last, found, F.col("id") == F.col("t_id"), "left")
+    return out.select("id", "doc_id", "type", "log_odds", F.when(F.col("verdict") == ASK, low).alias("threshold"), F.col("t_id").isNotNull().alias("truncated"))
 
 
 def by_source(elements: DataFrame, corpus: DataFrame) -> DataFrame:
