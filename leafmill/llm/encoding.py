@@ -5,6 +5,11 @@ UTF-8) finds maximal spans of complete multibyte sequences, and only those spans
 as it stands. Layers are undone one after another, so text garbled twice comes back too. Within one run of characters
 the code page that explains most of it wins; ties go to the code page seen most in the document, then to the order below.
 
+A well-formed sequence is decoded whatever the script of its character, provided that the character is assigned. What
+right text can bring about by chance (a quotation mark before an accented letter, a short Cyrillic word, a rare two-byte
+letter) is decoded only in company: next to a decoded character of its script, or in a document in which the
+same code page explains others; and never where it would put a foreign letter next to a Latin one.
+
 A document counts as affected if a span was decoded, or if it holds a replacement mark or a C1 control character. Lost
 bytes (a replacement mark or a question mark inside a sequence) are restored where only one sensible character fits.
 
@@ -15,6 +20,7 @@ rows; very long texts are handled whole; only ``doc_id`` and ``text`` are read,
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache, lru_cache
@@ -28,8 +34,8 @@ CODE_PAGES = ("cp1252", "cp1250", "cp1251", "cp437", "mac_roman", "cp1258", "iso
 LOST = -2
 QUOTES = set("‘’“”–—„‚…«»‹›")
 OPENING = set("“‘„«‹(\"'")
-#: Characters that decoded text may well hold.
-SENSIBLE = set(
+#: Characters by which a lost byte may be filled in; whole sequences may hold any character.
+LIKELY = set(
     "".join(map(chr, range(0x80, 0x100)))
     + "œŒšŠžŽŸƒˆ˜ăĂđĐĩĨũŨơƠưƯąĄćĆęĘłŁńŃśŚźŹżŻčČďĎěĚňŇřŘťŤůŮőŐűŰğĞşŞıİ"
     + "".join(map(chr, range(0x1EA0, 0x1EFA)))
@@ -37,7 +43,7 @@ SENSIBLE = set(
     + "".join(map(chr, [*range(0x391, 0x3CA), *range(0x410, 0x450)]))
     + "≤≥≠≈∞√∑∫∂→←−×÷"
 )
-MAX_LAYERS = 4
+NEVER, IN_COMPANY, ALONE = 0, 1, 2
 
 
 @cache
@@ -82,24 +88,71 @@ def _step(first: int) -> tuple[int, int, int] | None:
     return None
 
 
-def _complete(seq: list[int], page: str) -> str | None:
-    """Decode one sequence; with one lost byte, the only sensible character, or a replacement mark if several fit."""
+@lru_cache(50_000)
+def _script(c: str) -> str:
+    return unicodedata.name(c, "").split(" ")[0].split("-")[0]
+
+
+def _complete(seq: list[int], page: str, lenient: bool) -> str | None:
+    """Decode one sequence; with one lost byte, the only likely character, or a replacement mark if several fit."""
     if LOST not in seq:
         c = bytes(seq).decode("utf-8", "ignore")
-        return c if c in SENSIBLE else None
+        return c if c and (not lenient or c in LIKELY) else None
     if seq.count(LOST) > 1:
         return None
     k = seq.index(LOST)
-    fits = {c for b in undefined(page) if (c := bytes([*seq[:k], b, *seq[k + 1 :]]).decode("utf-8", "ignore")) in SENSIBLE and ord(c) > 0x9F}
+    fits = {c for b in undefined(page) if (c := bytes([*seq[:k], b, *seq[k + 1 :]]).decode("utf-8", "ignore")) in LIKELY and ord(c) > 0x9F}
     return next(iter(fits)) if len(fits) == 1 else "�" if fits else None
 
 
-@lru_cache(200_000)
-def decode_run(run: str, left: str, right: str, page: str, lenient: bool) -> tuple[str, int, int, int]:
+def _within(run: str, i: int, n: int, lo: str, hi: str) -> str:
+    """The stretch of characters from ``lo`` to ``hi`` around a sequence that consists of such; else an empty text."""
+    if not all(lo <= x <= hi for x in run[i : i + n]):
+        return ""
+    a, b = i, i + n
+    while a and lo <= run[a - 1] <= hi:
+        a -= 1
+    while b < len(run) and lo <= run[b] <= hi:
+        b += 1
+    return run[a:b]
+
+
+def _grade(c: str, run: str, i: int, n: int, before: str) -> int:
+    """How much a decoded character says by itself."""
+    o = ord(c)
+    if o < 0x100:
+        return ALONE
+    if unicodedata.category(c) in ("Cn", "Co", "Cs", "Cc"):
+        return NEVER
+    if n == 2 and run[i] in QUOTES:
+        return IN_COMPANY
+    if _within(run, i, n, "\u0400", "\u04ff"):  # letters of one alphabet: right words are lower, upper or title case
+        word = _within(run, i, n, "\u0400", "\u04ff")
+        if word in (word.lower(), word.upper(), word[:1].upper() + word[1:].lower()):
+            return IN_COMPANY
+    if len(_within(run, i, n, "\u2500", "\u259f")) > n:  # a frame or a tree of lines
+        return IN_COMPANY
+    if o < 0x180 or c in "ơƠưƯ" or 0x391 <= o <= 0x3C9 or 0x400 <= o <= 0x45F or o >= 0x800:
+        return ALONE
+    return ALONE if unicodedata.category(c) == "Mn" and before.isalpha() and _script(c) == "COMBINING" else IN_COMPANY
+
+
+@lru_cache(100_000)
+def _decode_short(run: str, left: str, right: str, page: str, lenient: bool, trusted: bool) -> tuple[str, int, int, int]:
+    return _decode(run, left, right, page, lenient, trusted)
+
+
+def decode_run(run: str, left: str, right: str, page: str, lenient: bool, trusted: bool = False) -> tuple[str, int, int, int]:
     """A run with its well-formed spans decoded: (text, characters explained, sequences, lost characters)."""
+    return (_decode_short if len(run) <= 64 else _decode)(run, left, right, page, lenient, trusted)
+
+
+def _decode(run: str, left: str, right: str, page: str, lenient: bool, trusted: bool) -> tuple[str, int, int, int]:
     table = to_byte(page)
     codes = [LOST if lenient and c in "�?" else 0xA0 if lenient and c == " " else table.get(c, -1) for c in run]
-    out, i, covered, sequences, lost = [], 0, 0, 0, 0
+    parts: list[tuple[str, int, int]] = []  # (character, place, length of its sequence or 0)
+    doubtful = False
+    i = 0
     while i < len(run):
         step = _step(codes[i]) if codes[i] > 0 and ord(run[i]) > 0x7F else None
         if step and i + step[0] <= len(run):
@@ -108,27 +161,45 @@ def decode_run(run: str, left: str, right: str, page: str, lenient: bool) -> tup
             odd = LOST in seq or " " in run[i : i + step[0]]
             if lenient and (not odd or run[i] in QUOTES):  # this pass is for damaged sequences only; whole ones are done
                 well = False
-            if well and (c := _complete(seq, page)) is not None and _attached(run, i, step[0], left, right, c):
-                out.append(c)
-                covered += step[0]
-                sequences += 1
-                lost += c == "�"
-                i += step[0]
-                continue
-        out.append(run[i])
+            if well and (c := _complete(seq, page, lenient)) is not None and _attached(run, i, step[0], left, right, c, trusted):
+                grade = ALONE if lenient else _grade(c, run, i, step[0], parts[-1][0] if parts else left)
+                if grade != NEVER:
+                    parts.append((c, i, step[0] if grade == ALONE else -step[0]))
+                    doubtful |= grade == IN_COMPANY
+                    i += step[0]
+                    continue
+        parts.append((run[i], i, 0))
         i += 1
-    return "".join(out), covered, sequences, lost
+    if doubtful:
+        parts = _in_company(parts, run, left, right, trusted)
+    done = [p for p in parts if p[2]]
+    return "".join(p[0] for p in parts), sum(p[2] for p in done), len(done), sum(p[0] == "�" for p in done)
+
+
+def _in_company(parts: list[tuple[str, int, int]], run: str, left: str, right: str, trusted: bool) -> list[tuple[str, int, int]]:
+    """Doubtful characters (negative lengths) stay with a decoded neighbour of their script or in trust, away from Latin letters."""
+    out = []
+    for k, (c, at, n) in enumerate(parts):
+        if n < 0:
+            near = [parts[j] for j in (k - 1, k + 1) if 0 <= j < len(parts)]
+            beside = (parts[k - 1][0] if k else left, parts[k + 1][0] if k + 1 < len(parts) else right)
+            foreign = c.isalpha() and _script(c) != "LATIN" and any(x.isalpha() and _script(x) == "LATIN" for x in beside)
+            if foreign or not (trusted or any(m and _script(x) == _script(c) for x, _, m in near)):
+                out += [(x, at + j, 0) for j, x in enumerate(run[at : at - n])]
+                continue
+        out.append((c, at, abs(n)))
+    return out
 
 
-def _attached(run: str, i: int, n: int, left: str, right: str, c: str) -> bool:
-    """A pair that ends in a quote or dash is a letter's sequence only next to a letter, and never between quotation marks."""
+def _attached(run: str, i: int, n: int, left: str, right: str, c: str, trusted: bool) -> bool:
+    """A pair that ends in a quote or dash is a letter's sequence only next to a letter or in trust, and never between quotation marks."""
     if n > 2 or run[i + 1] not in QUOTES:
         return True
     before = run[i - 1] if i else left
     after = run[i + n] if i + n < len(run) else right
     if before in OPENING and not after.isalpha():
         return False
-    return not c.isalpha() or before.isalpha() or after.isalpha() or ord(before) > 0x7F or ord(after) > 0x7F
+    return trusted or not c.isalpha() or before.isalpha() or after.isalpha() or ord(before) > 0x7F or ord(after) > 0x7F
 
 
 #: What the JVM lets through: two neighbouring characters beyond ASCII, a replacement mark or a C1 control. Every span has one.
@@ -149,6 +220,11 @@ def suspicion() -> re.Pattern:
 _RUN = regex.compile(r"[^\x00-\x7f](?:[^\x00-\x7f]|[ ?](?=[^\x00-\x7f])|(?<=[^\x00-\x7f])[ ?])*")
 
 
+def _two_readings(run: str) -> bool:
+    """Whether a run holds controls that cp1252 has signs for next to signs beyond Latin-1, as ISO 8859-15 gives them."""
+    return max(run) > "\xff" and any("\x80" <= c <= "\x9f" and c not in "\x81\x8d\x8f\x90\x9d" for c in run)
+
+
 def _layer(text: str, lenient: bool, votes: Counter) -> tuple[str, int, int, Counter]:
     total = lost = 0
     seen: Counter = Counter()
@@ -161,9 +237,10 @@ def _layer(text: str, lenient: bool, votes: Counter) -> tuple[str, int, int, Cou
         for k, page in enumerate(CODE_PAGES):
             if lenient and not votes[page]:
                 continue
-            got = decode_run(run, left, right, page, lenient)
-            if got[2] and (best is None or (got[1], votes[page], -k) > best[0]):
-                best = (got[1], votes[page], -k), page, got
+            got = decode_run(run, left, right, page, lenient, votes[page] > 0)
+            rank = (got[1], page != "cp1252" or not _two_readings(run), votes[page], -k)
+            if got[2] and (best is None or rank > best[0]):
+                best = rank, page, got
         if best is None:
             return run
         total += best[2][2]
@@ -179,7 +256,7 @@ def restore(text: str | None) -> tuple[str | None, int, int, str | None]:
     if not text:
         return text, 0, 0, None
     out, spans, pages = text, 0, Counter()
-    for _ in range(MAX_LAYERS):
+    while True:  # every layer that is undone leaves a shorter text
         _, n, _, votes = _layer(out, False, Counter())
         if not n:
             break
