@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.runtime import distributed_rank
+from leafmill.runtime import cut, distributed_rank, merged
 
 
 def upper_tail(n: Column, k: Column, r: Column) -> Column:
@@ -58,14 +58,17 @@ def score_lists(hits: DataFrame) -> DataFrame:
 def one_ranking(hits: DataFrame) -> DataFrame:
     """(query_id, doc_id, n_lists, significance, final_rank), one row per question and chunk."""
     lists = score_lists(hits)
-    placed = distributed_rank(lists.where("value is not null"), ["query_id", "list"], [F.col("value").desc(), F.col("doc_id")], "place", "size")
-    # ties share the mean of their places: a tie is a group of equal values, pre-aggregated on the map side
-    ties = placed.groupBy("query_id", "list", "value").agg(F.avg("place").alias("mean_place"))
-    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("query_id", "list", "value")]
-    ranks = placed.alias("p").join(ties.alias("t"), same[0] & same[1] & same[2]).select("p.query_id", "p.doc_id", (F.col("t.mean_place") / F.col("p.size")).alias("r"))
+    lists = cut(lists)
+    # ties share the mean of their places, so only distinct values, counted on the map side, are put in order; no ids travel
+    values = lists.where("value is not null").groupBy("query_id", "list", "value").agg(F.count("*").alias("n"))
+    placed = distributed_rank(values, ["query_id", "list"], [F.col("value").desc()], "upto", "size", "n")
+    mean = ((F.col("upto") - (F.col("n") - 1) / 2) / F.col("size")).alias("r")
+    at = placed.select(F.col("query_id").alias("t_query"), F.col("list").alias("t_list"), F.col("value").alias("t_value"), mean)
+    ranks = merged(lists.where("value is not null"), at, (F.col("query_id") == F.col("t_query")) & (F.col("list") == F.col("t_list")) & (F.col("value") == F.col("t_value"))).select("query_id", "doc_id", "r")
     scored = ranks.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list("r")).alias("ranks"))
     bare = lists.where("value is null").select("query_id", "doc_id").distinct().withColumn("ranks", F.array().cast("array<double>"))
-    items = scored.unionByName(bare.join(scored.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"))
+    # an item may have a score in one list and none in another
+    items = scored.unionByName(bare).groupBy("query_id", "doc_id").agg(F.max_by("ranks", F.size("ranks")).alias("ranks"))
     mean = F.coalesce(F.aggregate("ranks", F.lit(0.0), lambda a, x: a + x) / F.when(F.size("ranks") > 0, F.size("ranks")), F.lit(1.0))
     judged = items.select("query_id", "doc_id", F.size("ranks").alias("n_lists"), F.round(significance(F.col("ranks")), 9).alias("significance"), F.round(mean, 9).alias("mean_rank"))
     return distributed_rank(judged, ["query_id"], [F.col("significance"), F.col("mean_rank"), F.col("doc_id")], "final_rank")
