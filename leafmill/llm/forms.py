@@ -6,12 +6,13 @@ compose accents and replace look-alike letters of other alphabets inside otherwi
 
 Defined results: a null text gives a null form and no flags; an empty text stays empty; very long texts are handled
 whole; repeated rows give repeated rows; an empty table gives no rows; only the named columns are read, so extra columns
-with any name do no harm. Words or symbols wholly of another script, typographic quotes, dashes, ellipses and
+with any name do no harm. Soft hyphens are dropped from the form; by themselves they make no case. Words or symbols wholly of another script, typographic quotes, dashes, ellipses and
 superscripts are left as they are.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +32,9 @@ LOOK_ALIKE = {
     "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g",
 }
 OTHER = r"\p{Greek}\p{Cyrillic}\p{Armenian}\p{Coptic}\p{Cherokee}\p{Georgian}"
-INVISIBLE = r"\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}\x{180E}"
+INVISIBLE = r"\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{034F}\x{061C}\x{FE00}-\x{FE0E}\x{FEFF}\x{180E}"
+#: Half-width kana, mathematical letters and Roman numerals with their compatibility forms, by rule.
+COMPATIBLE = {c: unicodedata.normalize("NFKC", c) for lo, hi in ((0xFF65, 0xFFA0), (0x1D400, 0x1D800), (0x2160, 0x2180)) for c in map(chr, range(lo, hi)) if unicodedata.normalize("NFKC", c) not in ("", c)}
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "ǆ": "dž", "ǉ": "lj", "ǌ": "nj"}
 
 _lit = lambda s: "'" + s.replace("'", "''") + "'"
@@ -44,6 +47,15 @@ def _ligatures(x: str) -> str:
     return x
 
 
+def _compatible(x: str) -> str:
+    one = {a: b for a, b in COMPATIBLE.items() if len(b) == 1}
+    out = f"translate({x}, {_lit(''.join(one))}, {_lit(''.join(one.values()))})"
+    for a, b in COMPATIBLE.items():
+        if len(b) > 1:
+            out = f"replace({out}, {_lit(a)}, {_lit(b)})"
+    return f"CASE WHEN regexp_matches({x}, '[\\x{{FF65}}-\\x{{FF9F}}\\x{{1D400}}-\\x{{1D7FF}}\\x{{2160}}-\\x{{217F}}]') THEN {out} ELSE {x} END"
+
+
 _VISIBLE = f"regexp_replace(x, '[{INVISIBLE}\\x{{00AD}}]', '', 'g')"
 FLAGS_SQL = f"""
   regexp_matches(x, '[\\x{{FF01}}-\\x{{FF5E}}\\x{{FFE0}}-\\x{{FFE6}}]') AS full_width,
@@ -53,7 +65,8 @@ FLAGS_SQL = f"""
   regexp_matches(x, '[{OTHER}]') AND regexp_matches({_VISIBLE}, '\\p{{Latin}}\\p{{M}}*[{OTHER}]|[{OTHER}]\\p{{M}}*\\p{{Latin}}') AS look_alike
 """
 _MAPPED = f"translate(translate({_VISIBLE}, {_lit(FULL_WIDTH + FULL_SIGNS)}, {_lit(FULL_WIDTH_TO + FULL_SIGNS_TO)}), {_lit(SPACES)}, {_lit(' ' * len(SPACES))})"
-FORM_SQL = f"nfc_normalize(CASE WHEN regexp_matches(x, '[ﬀ-ﬆĳǆǉǌ]') THEN {_ligatures(_MAPPED)} ELSE {_MAPPED} END)"
+_FORM_SQL = f"(CASE WHEN regexp_matches(x, '[ﬀ-ﬆĳǆǉǌ]') THEN {_ligatures(_MAPPED)} ELSE {_MAPPED} END)"
+FORM_SQL = f"nfc_normalize({_compatible('mapped')})"
 WORDS_SQL = f"""CASE WHEN look_alike THEN array_to_string(list_transform(
       regexp_extract_all(form, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'),
       lambda w: CASE WHEN regexp_matches(w, '\\p{{Latin}}') AND regexp_matches(w, '[{OTHER}]') THEN translate(w, {_lit(_look_from)}, {_lit(_look_to)}) ELSE w END), '')
@@ -69,7 +82,7 @@ def _run(want_form: bool):
         flags = "full_width, split_accent, invisible, odd_space, look_alike"
         inner = f"SELECT tbl, rec_id, x, {FLAGS_SQL} FROM piece"
         if want_form:
-            sql = f"SELECT tbl, rec_id, {WORDS_SQL} AS form, {flags} FROM (SELECT *, {FORM_SQL} AS form FROM ({inner}))"
+            sql = f"SELECT tbl, rec_id, {WORDS_SQL} AS form, {flags} FROM (SELECT *, {FORM_SQL} AS form FROM (SELECT *, {_FORM_SQL} AS mapped FROM ({inner})))"
         else:
             sql = f"SELECT DISTINCT tbl, rec_id FROM ({inner}) WHERE full_width OR split_accent OR invisible OR odd_space OR look_alike"
         for piece in batches:

@@ -12,7 +12,8 @@ share of all rows.
 
 Defined results: documents without a source, of a source without a target, or of no tokens (null or empty text) are not taken;
 a doc_id that occurs twice counts once; a source with a target but no tokens gets actual share 0 and the other shares are scaled
-up; targets that are null or not above 0 are left out; empty tables give no rows.
+up; a source whose documents are too few or too long to meet its budget exactly is left short, and the report says by how many
+tokens; targets that are null or not above 0 are left out; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -156,4 +157,4 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     share = F.col("tokens") / F.sum("tokens").over(W.partitionBy(F.lit(0)))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     report = report.select("source", "target_share", "max_repeats", "available_tokens", "budget", zero("tokens"), zero("documents"), zero("most_copies"))
-    return mixture, report.withColumn("actual_share", F.round(share, 9))
+    return mixture, report.withColumn("missing_tokens", F.col("budget") - F.col("tokens")).withColumn("actual_share", F.round(share, 9))

@@ -101,19 +101,28 @@ def test_damaged(spark, corpus):
 
 
 def test_every_single_misreading_meets_its_word(spark, corpus):
-    from leafmill.llm.scans import CONFUSIONS, Origins, repaired
-
-    origins = Origins({w: 9 for w in (*WORDS, "shows", "holds", "meets", "finds", "không", "index", "the", "of", "in")})
-    for w in origins.words:
-        for a, b in CONFUSIONS:
-            for m in re.finditer(re.escape(a), w):
-                assert w in origins.of(w[: m.start()] + b + w[m.end() :])
-    assert origins.of("window") == [] and origins.of("") == []
+    from leafmill.llm.scans import CONFUSIONS, repaired, skeleton
+
+    words = (*WORDS, "shows", "holds", "meets", "finds", "không", "index", "the", "of", "in")
+    pairs = [(w, w[: m.start()] + b + w[m.end() :]) for w in words for a, b in CONFUSIONS for m in re.finditer(re.escape(a), w)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert df.where(skeleton(F.col("a")) != skeleton(F.col("b"))).count() == 0 and len(pairs) > 150
     rows = [*corpus[0], ("six", "text", "The window sliows a letter and the planet firids every circle.", 50, 100, "doc99")]
     fixed = {r.id: r.repaired for r in repaired(elements(spark, rows)).collect()}
     assert fixed["six"] == "The window shows a letter and the planet finds every circle."
 
 
+def test_a_habit_outside_the_table_is_learned(spark):
+    from leafmill.llm.scans import candidates
+
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefgiklmoprstuvwxyz") for _ in range(7)) + "y" + r.choice("abe") for _ in range(60)]
+    rows = [(w, 500) for w in words] + [(w.replace("y", "v"), 3) for w in words if w.count("y") == 1] + [(w[:3] + "q" + w[4:], 3) for w in words[:5]]
+    got = {(x.word, x.c_word): x.habit for x in candidates(spark.createDataFrame(rows, "word string, n bigint")).collect()}
+    assert all(got.get((w.replace("y", "v"), w), 0) > 1 for w in words if w.count("y") == 1)
+    assert not any(q in words and w[3] == "q" for w, q in got)
+
+
 def test_truncated(spark, corpus):
     from leafmill.llm.truncation import by_source, judged
 
@@ -125,7 +134,8 @@ def test_truncated(spark, corpus):
     extra = [(k, kind(k), v, 5, 10 * j, "cut") for j, (k, v) in enumerate(cut.items())] + [(k, kind(k), v, 5, 500 + 10 * j, "whole") for j, (k, v) in enumerate(whole.items())]
     extra += [("next", "text", "lesson of every garden. " + sentence(r), 5, 511, "whole"), (None, "text", "The eng", 1, 1, "x")]
     df = elements(spark, rows + extra)
-    assert {x.id for x in judged(df).where("truncated").collect()} == set(cut)
+    found = {x.id: x for x in judged(df).where("truncated").collect()}
+    assert set(found) == set(cut) and all(x.log_odds < x.threshold for x in found.values())
     src = spark.createDataFrame([("cut", "S", T), ("cut", "S", T), ("whole", "W", T)], "doc_id string, source string, registered_at timestamp")
     assert {x.source: x.n_truncated for x in by_source(df, src).where("source is not null").collect()} == {"S": 5, "W": 0}
     assert judged(df.limit(0)).count() == 0
@@ -148,6 +158,30 @@ def test_lines(spark):
     assert excessive(df.limit(0), src).count() == 0 and excessive(df, src.limit(0)).count() == 0
 
 
+def test_blocks_of_short_lines(spark):
+    from leafmill.llm.lines import cleaned, excessive, intervals, suffix_array
+
+    share = ["Share this page", "Print it out", "Send to a friend"]
+    rows = [(f"b{k}", "text", "\n".join([f"Own {WORDS[k]} line", *share, f"Then {WORDS[k + 9]} ends"]), 5, k, f"d{k}") for k in range(5)]
+    rows += [(f"s{k}", "text", f"{share[0]}\n{WORDS[k]} {WORDS[k + 1]} and {WORDS[k + 2]} of its own {k}", 5, 50 + k, f"d{k}") for k in range(5)]  # one line of it alone is no block
+    rows += [(f"f{k}", "text", "\n".join(share[1:]), 5, 90 + k, f"d{k}") for k in range(4)]
+    src = spark.createDataFrame([(f"d{k}", "S") for k in range(5)], "doc_id string, source string")
+    df = elements(spark, rows)
+    assert excessive(df, src, single=True).count() == 0
+    gone = {(r.id, r.pos) for r in excessive(df, src).collect()}
+    # blocks of letters enough are those of all three lines; the last two alone have too few
+    assert gone == {(f"b{k}", p) for k in range(5) for p in (1, 2, 3)}
+    assert {r.id: r.content for r in cleaned(df, src).collect()}["b2"] == f"Own {WORDS[2]} line\nThen {WORDS[11]} ends"
+    array = sorted((r.source, r.key, r.doc_id, r.id, r.pos, r.lcp) for r in suffix_array(df, src).repartition(3).collect())
+    for a, b in zip(array, array[1:], strict=False):
+        n = next((k for k, (x, y) in enumerate(zip(a[1], b[1], strict=False)) if x != y), min(len(a[1]), len(b[1])))
+        assert b[5] == n
+    same = {}
+    for r in intervals(suffix_array(df, src)).collect():
+        same.setdefault((r.depth, r.interval), set()).add(tuple(next(x[1] for x in array if x[3:5] == (r.id, r.pos))[: r.depth]))
+    assert all(len(v) == 1 for v in same.values()) and len(same) == len(set().union(*same.values()))
+
+
 # ---- 5 spans
 
 
@@ -189,8 +223,11 @@ def test_spans(spark):
 def test_forms(spark):
     from leafmill.llm.forms import one_form, unlike_forms
 
-    cases = {"full": ("ｗｉｄｅ", "wide"), "split": ("café", "café"), "zero": ("a​b", "ab"), "space": ("a b　c", "a b c"), "look": ("pаge", "page")}
+    cases = {"full": ("ｗｉｄｅ", "wide"), "split": ("café", "café"), "zero": ("a​b", "ab"), "space": ("a b　c", "a b c"), "look": ("pаge", "page"), "bidi": ("a\u202eb\u2066c", "abc")}
     fine = {"greek": "λ and Ωμέγα", "quote": "“x” – y… n²", "acc": "déjà", "plain": "abc", "cyr": "граф x", "empty": "", "nl": "a\nb"}
+    other = {"kana": ("ｶﾞｱ", "ガア"), "math": ("𝐱", "x"), "roman": ("Ⅳ", "IV"), "soft": ("co\u00adop", "coop")}
+    soft = one_form(spark.createDataFrame([(k, v[0]) for k, v in other.items()], "id string, content string"), "e", "id", "content")
+    assert {r.rec_id: r.form for r in soft.collect()} == {k: v[1] for k, v in other.items()}
     rows = [(k, v[0], "t") for k, v in cases.items()] + [(k, v, "t") for k, v in fine.items()] + [("null", None, "t"), (None, "ａ", "t"), ("full", "ｗｉｄｅ", "t")]
     df = spark.createDataFrame(rows, "id string, content string, tbl string")
     assert sorted((r.tbl, r.rec_id) for r in unlike_forms(df, "e", "id", "content").collect()) == sorted(("e", k) for k in cases)
@@ -328,6 +365,22 @@ def test_twice_and_decoys():
     assert restore("f�r")[2] == 1
 
 
+@pytest.mark.parametrize("text", ["数据库系统概论", "データベースの設計", "قاعدة البيانات", "מסד נתונים", "Сьогодні історія і наука їхня", "ok 😀 🍌 done", "βάση δεδομένων", "데이터 베이스", "café: the λ-based codec"])
+def test_round_trip_of_any_script(text):
+    from leafmill.llm.encoding import CODE_PAGES
+
+    for page in CODE_PAGES:
+        garbled = "".join(bytes([b]).decode(page, "ignore") or chr(b) for b in text.encode())
+        assert restore(garbled)[0] == text, page
+        assert restore(text)[:2] == (text, 0)
+
+
+def test_right_text_of_any_script_stays():
+    fine = ["Тільки дії історії Італії і Рік Січ її", "l’été et l’âge “état” –être —à la", "«étude» «à la carte» groß“ und weiß“ CAFÉ”", "├──┐ └──│ ├── src", "Привет, мир! Ёлка. ёж", "ĐÂY LÀ “Ê”, “Ơ”.", "PIÙ”", "ÎLE, Ï” ", "μm Δx λ→∞ ±5°C", "Thành phần “ưu” và “ơ”"]
+    for text in fine:
+        assert restore(text)[:3] == (text, 0, 0)
+
+
 def test_garbled(spark):
     from leafmill.llm.encoding import garbled
 
