@@ -135,18 +135,18 @@ def assemble(units: list[dict], compat: Compat = Compat()) -> tuple[str, list[st
     return text, images
 
 
-def pack(units: list[dict], s: Settings = DEFAULT) -> list[dict]:
+def pack(units: list[dict], s: Settings = DEFAULT, compat: Compat = Compat()) -> list[dict]:
     """Chunks of a block too large for one: elements are added until the next would reach the greatest size."""
     out: list[dict] = []
     now: list[dict] = []
 
     def size(us: list[dict]) -> int:
-        text, images = assemble(us)
+        text, images = assemble(us, compat)
         return (tokens(text, s) if text else 0) + s.image_token_estimate * len(images)
 
     def close(us: list[dict], text: str | None = None, part: int | None = None) -> None:
         if us:
-            t, images = assemble(us)
+            t, images = assemble(us, compat)
             body = t if text is None else text
             out.append({"first": us[0]["atomic_order"], "last": us[-1]["atomic_order"], "part": part, "text": body, "images": images if not part else [], "tokens": (tokens(body, s) if body else 0) + s.image_token_estimate * (len(images) if not part else 0)})
 
@@ -154,10 +154,10 @@ def pack(units: list[dict], s: Settings = DEFAULT) -> list[dict]:
     for u in units:
         if have + u["size"] >= s.chunk_max_token:
             if u["type"] == "text" and u["size"] >= s.chunk_max_token:
-                parts = split_text(u["content"] or "", s)
+                parts = split_text(u["content"] or "", s, compat)
                 lead = parts[0][0] if parts else ""
                 if have < s.chunk_min_token and now and parts:
-                    t, _ = assemble(now)
+                    t, _ = assemble(now, compat)
                     close([*now, u], f"{t.strip()}\n\n{lead}".strip())
                     parts = parts[1:]
                 else:
@@ -184,18 +184,18 @@ def pack(units: list[dict], s: Settings = DEFAULT) -> list[dict]:
 _CHUNK = "chunk_id string, doc_id string, document string, section string, token_count int, text string, images array<string>, first_order int, last_order int"
 
 
-def _chunks_of(units: list[dict], s: Settings) -> list[tuple]:
+def _chunks_of(units: list[dict], s: Settings, compat: Compat = Compat()) -> list[tuple]:
     first = units[0]
     label = re.sub(r"^#+", "", first["content"] or "").strip() if first["type"] == "section_header" else ""
     label = "" if len(label) > 300 else label
     base = first["path"] or ""
     section = base if first["fits"] or not label or base.endswith(label) else f"{base} > {label}" if base else label
     if first["fits"] or sum(u["size"] for u in units) <= s.chunk_max_token:
-        text, images = assemble(units)
+        text, images = assemble(units, compat)
         chunks = [{"first": first["atomic_order"], "last": units[-1]["atomic_order"], "part": None, "text": text, "images": images, "tokens": sum(u["size"] for u in units)}]
         chunks = [c for c in chunks if c["text"].strip() or c["images"]]
     else:
-        chunks = pack(units, s)
+        chunks = pack(units, s, compat)
     rows, used = [], {}
     for c in chunks:
         cid = f"{first['document']}__chunk_{c['first']}_{c['last']}" + (f"_part_{c['part']}" if c["part"] is not None else "")
@@ -204,7 +204,7 @@ def _chunks_of(units: list[dict], s: Settings) -> list[tuple]:
     return rows
 
 
-def semantic_chunks(units: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def semantic_chunks(units: DataFrame, s: Settings = DEFAULT, compat: Compat = Compat()) -> DataFrame:
     """Chunks of units (id, doc_id, document, top, path, fits, type, heading_type, description, content, atomic_order, size).
 
     ``top`` is the emitted node and ``fits`` says that it makes one chunk; otherwise its blocks are chunked one by one.
@@ -212,7 +212,7 @@ def semantic_chunks(units: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     units = units.withColumn("atomic_order", F.coalesce("atomic_order", F.lit(0)))
     small = units.where("fits").withColumn("block", F.lit(0).cast("bigint")).withColumn("stretch", F.lit(0).cast("bigint"))
     large = block_numbers(units.where("not fits"), ["doc_id", "top"])
-    return in_groups(small.unionByName(large), ["doc_id", "top", "block", "stretch"], ["atomic_order", "id"], lambda rows: _chunks_of(rows, s), _CHUNK)
+    return in_groups(small.unionByName(large), ["doc_id", "top", "block", "stretch"], ["atomic_order", "id"], lambda rows: _chunks_of(rows, s, compat), _CHUNK)
 
 
 def merge_chunks(a: Column, b: Column) -> Column:

@@ -1,8 +1,8 @@
 """Tables of contents as trees: preorder intervals, ancestors, roll-ups and cuts, without recursion.
 
 A table of contents lists its entries in preorder, so a node's subtree is a run of entries. Parents and ancestors come from
-running "last entry of level l" columns, one per level (levels are few and bounded by ``MAX_LEVELS``); ends of
-subtrees from the same reading backwards. Everything is keyed by document.
+running "last entry of level l" columns, one per level that occurs (levels are few; more than ``MAX_LEVELS`` different ones are an
+error, not clipped); ends of subtrees from the same reading backwards. Everything is keyed by document.
 """
 
 from __future__ import annotations
@@ -16,26 +16,32 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as X
 from leafmill.operators.folds import in_groups
 
-MAX_LEVELS = 8
+MAX_LEVELS = 64
 
 
 def toc_to_tree(toc: DataFrame) -> DataFrame:
     """(doc_id, pre, post, level, parent, title, page, path): each entry with its interval, parent and titles from the root.
 
-    Rows with a null document, order or level are left out; levels are clipped to 1..MAX_LEVELS; repeated keys collapse.
+    Rows with a null document, order or level are left out; levels may be any numbers; repeated keys collapse.
     """
     rows = toc.where("doc_id is not null and toc_order is not null and level is not null")
+    levels = [r[0] for r in rows.select("level").distinct().orderBy("level").limit(MAX_LEVELS + 1).collect()]
+    if len(levels) > MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} different levels")
     rows = rows.groupBy("doc_id", F.col("toc_order").alias("pre")).agg(F.max(F.struct("level", "title", "page")).alias("r"))
-    rows = rows.select("doc_id", "pre", F.least(F.greatest(F.col("r.level"), F.lit(1)), F.lit(MAX_LEVELS)).alias("level"), F.coalesce("r.title", F.lit("")).alias("title"), F.col("r.page").alias("page"))
+    rows = rows.select("doc_id", "pre", F.col("r.level").alias("level"), F.coalesce("r.title", F.lit("")).alias("title"), F.col("r.page").alias("page"))
     before = W.partitionBy("doc_id").orderBy("pre").rowsBetween(W.unboundedPreceding, -1)
     after = W.partitionBy("doc_id").orderBy(F.desc("pre")).rowsBetween(W.unboundedPreceding, -1)
     at = lambda k: F.when(F.col("level") == k, F.struct("pre", "title"))
-    wide = rows.select("*", *[F.last(at(k), ignorenulls=True).over(before).alias(f"b{k}") for k in range(1, MAX_LEVELS)], *[F.last(F.when(F.col("level") == k, F.col("pre")), ignorenulls=True).over(after).alias(f"a{k}") for k in range(1, MAX_LEVELS + 1)], F.max("pre").over(W.partitionBy("doc_id")).alias("last_pre"))
+    last = [F.last(at(v), ignorenulls=True).over(before).alias(f"b{k}") for k, v in enumerate(levels)]
+    first = [F.last(F.when(F.col("level") == v, F.col("pre")), ignorenulls=True).over(after).alias(f"a{k}") for k, v in enumerate(levels)]
+    wide = rows.select("*", *last, *first, F.max("pre").over(W.partitionBy("doc_id")).alias("last_pre"))
     # an earlier entry of a lower level is an ancestor unless one of a still lower level came after it
-    chain = F.array(*[F.when((F.col("level") > k) & F.col(f"b{k}").isNotNull(), F.struct(F.lit(k).alias("level"), F.col(f"b{k}.pre").alias("pre"), F.col(f"b{k}.title").alias("title"))) for k in range(1, MAX_LEVELS)])
+    none = F.lit(None).cast("struct<level:int,pre:int,title:string>")
+    chain = F.array(none, *[F.when((F.col("level") > v) & F.col(f"b{k}").isNotNull(), F.struct(F.lit(v).alias("level"), F.col(f"b{k}.pre").alias("pre"), F.col(f"b{k}.title").alias("title"))) for k, v in enumerate(levels)])
     chain = F.filter(chain, lambda x: x.isNotNull())
     up = F.filter(chain, lambda x: ~F.exists(chain, lambda y: (y["level"] < x["level"]) & (y["pre"] > x["pre"])))
-    end = F.array_min(F.array(*[F.when(F.col("level") >= k, F.col(f"a{k}")) for k in range(1, MAX_LEVELS + 1)]))
+    end = F.array_min(F.array(F.lit(None).cast("int"), *[F.when(F.col("level") >= v, F.col(f"a{k}")) for k, v in enumerate(levels)]))
     tree = wide.withColumn("up", up).withColumn("end", end)
     return tree.select("doc_id", "pre", F.coalesce(F.col("end") - 1, "last_pre").alias("post"), "level", F.when(F.size("up") > 0, F.element_at("up", -1)["pre"]).alias("parent"), F.transform("up", lambda x: x["pre"]).alias("ancestors"), "title", "page", F.array_join(F.concat(F.transform("up", lambda x: x["title"]), F.array("title")), " > ").alias("path"))
 
@@ -134,7 +140,7 @@ def subtree_tokens(nodes: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def subtree_units(nodes: DataFrame, units: DataFrame) -> DataFrame:
-    """(doc_id, pre, id): every unit under every node that has it in its subtree; ancestors are at most MAX_LEVELS."""
+    """(doc_id, pre, id): every unit under every node that has it in its subtree; a node has an ancestor per level at most."""
     above = nodes.select("doc_id", F.col("pre").alias("at"), F.explode(F.concat("ancestors", F.array("pre"))).alias("top"))
     return units.select("doc_id", F.col("pre").alias("at"), "id").join(above, ["doc_id", "at"]).select("doc_id", F.col("top").alias("pre"), "id").distinct()
 

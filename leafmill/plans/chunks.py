@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.config import Compat
 from leafmill.functions import text as X
 from leafmill.operators import chunking as C
 from leafmill.operators import hierarchy as H
@@ -61,12 +62,12 @@ def chunk_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.title_chunks(latest(spark, sf_dir).select("doc_id", "id", "atomic_order", "type", "content"))
 
 
-def hsf(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hsf(spark: SparkSession, sf_dir: str, compat: Compat = Compat()) -> DataFrame:
     """Hierarchical-semantic chunks of every document."""
     nodes = tree(spark, sf_dir)
     own = placed(spark, sf_dir, nodes)
     totals = cut(H.subtree_tokens(nodes, own.groupBy("doc_id", "pre").agg(F.sum("size").alias("own_tokens"))))
-    stops = H.choose_cut(nodes, totals)
+    stops = H.choose_cut(nodes, totals, inner_text=not compat.drop_inner_text)
     joined = nodes.join(totals, ["doc_id", "pre"])
     tops = stops.select("doc_id", F.col("pre").alias("top"), "whole").join(joined.select("doc_id", F.col("pre").alias("top"), "path", "token_count", "own_tokens"), ["doc_id", "top"])
     # a unit belongs to the emitted node above its own; inner nodes that do not fit take only what is theirs alone
@@ -78,7 +79,7 @@ def hsf(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = inside.select(*names).unionByName(free.select(*names))
     corpus = table(spark, sf_dir, "corpus").groupBy(F.col("doc_id").alias("c_doc")).agg(F.max(F.struct("registered_at", "file_path")).alias("r"))
     units = units.join(corpus, F.col("doc_id") == F.col("c_doc"), "left").withColumn("document", F.coalesce(X.sanitize_filename(F.col("r.file_path")), F.col("doc_id"))).drop("c_doc", "r")
-    return C.semantic_chunks(units)
+    return C.semantic_chunks(units, compat=compat)
 
 
 @core("WITH c AS (SELECT doc_id, any_value(text) AS text FROM hits WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id), w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{M}\\p{N}_]+'), lambda x: x <> '') AS w FROM c), t AS (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM w) SELECT term, doc_id, count(*) AS tf, max(len)::INT AS len FROM t GROUP BY term, doc_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.config import DEFAULT, Settings
 from leafmill.functions import text as X
+from leafmill.operators.folds import in_groups
 
 _REF = "struct<`$ref`:string,cref:string>"
 #: Fixed value: the fields of a parsed batch that are read.
@@ -14,7 +15,6 @@ PARSED = f"""body struct<children:array<{_REF}>>, groups array<struct<self_ref:s
  texts array<struct<self_ref:string,label:string,text:string,orig:string,children:array<{_REF}>,prov:array<struct<page_no:int>>>>,
  pictures array<struct<self_ref:string,label:string,children:array<{_REF}>,image:struct<uri:string>,prov:array<struct<page_no:int>>>>,
  tables array<struct<self_ref:string,label:string,text:string,children:array<{_REF}>,prov:array<struct<page_no:int>>>>"""
-DEPTH = 8
 
 
 def page_batches(docs: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -32,8 +32,8 @@ def scan_parsed(spark: SparkSession, folder: str) -> DataFrame:
 def flatten_elements(parsed: DataFrame) -> DataFrame:
     """(file, elem_order, ref, label, text, image_uri, page_no): a batch's elements in preorder.
 
-    Groups give way to their children, pictures are followed by their first child; nesting is followed to DEPTH. A group
-    without children stands for itself.
+    Groups give way to their children, pictures are followed by their first child, however deep they are nested; a reference to an
+    element above itself is left out. A group without children stands for itself. A batch holds few pages and is one fold.
     """
     ref = lambda c: F.transform(F.coalesce(c, F.array().cast(f"array<{_REF}>")), lambda x: F.coalesce(x["cref"], x["$ref"]))
     kinds = []
@@ -45,18 +45,24 @@ def flatten_elements(parsed: DataFrame) -> DataFrame:
     items = kinds[0]
     for k in kinds[1:]:
         items = items.unionByName(k)
-    level = parsed.select("file", F.posexplode(ref(F.col("body.children"))).alias("p", "ref")).select("file", F.array("p").alias("path"), "ref")
-    done = None
-    for _ in range(DEPTH):
-        met = level.join(items, ["file", "ref"])
-        leaf = met.where("kind <> 'groups' or size(kids) = 0").drop("kids", "kind")
-        done = leaf if done is None else done.unionByName(leaf)
-        group = met.where("kind = 'groups' and size(kids) > 0").select("file", "path", F.posexplode("kids").alias("p", "kid"))
-        first = met.where("kind = 'pictures' and size(kids) > 0").select("file", "path", F.lit(0).alias("p"), F.element_at("kids", 1).alias("kid"))
-        level = group.unionByName(first).select("file", F.concat("path", F.array("p")).alias("path"), F.col("kid").alias("ref"))
-    from pyspark.sql import Window as W
-
-    return done.withColumn("elem_order", F.row_number().over(W.partitionBy("file").orderBy("path")) - 1).drop("path").select("file", "elem_order", "ref", "label", "text", "image_uri", "page_no")
+    body = parsed.select("file", F.lit("body").alias("kind"), *[F.lit(None).cast("string").alias(c) for c in ("ref", "label", "text", "image_uri")], F.lit(None).cast("int").alias("page_no"), ref(F.col("body.children")).alias("kids"))
+
+    def fold(rows: list[dict]) -> list[tuple]:
+        at = {r["ref"]: r for r in rows if r["kind"] != "body"}
+        out: list[tuple] = []
+        todo = [(r, frozenset()) for row in rows if row["kind"] == "body" for r in row["kids"]][::-1]
+        while todo:
+            name, above = todo.pop()
+            r = at.get(name)
+            if r is None or name in above:
+                continue
+            kids = r["kids"] if r["kind"] == "groups" else r["kids"][:1] if r["kind"] == "pictures" else []
+            if r["kind"] != "groups" or not kids:
+                out.append((r["file"], len(out), name, r["label"], r["text"], r["image_uri"], r["page_no"]))
+            todo += [(k, above | {name}) for k in reversed(kids)]
+        return out
+
+    return in_groups(items.unionByName(body), ["file"], ["kind", "ref"], fold, "file string, elem_order int, ref string, label string, text string, image_uri string, page_no int")
 
 
 def serialize(rows: DataFrame, form: bool = False) -> DataFrame:

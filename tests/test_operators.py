@@ -115,6 +115,8 @@ def test_tree_against_brute_force(spark):
         parent = max((x[1] for x in doc if x[1] < k and x[2] < level), default=None)
         post = min((x[1] - 1 for x in doc if x[1] > k and x[2] <= level), default=39)
         assert (got[d, k].parent, got[d, k].post) == (parent, post)
+    deep = H.toc_to_tree(spark.createDataFrame([("d", k, 10 * k, f"T{k}", k) for k in range(15)], "doc_id string, toc_order int, level int, title string, page int"))
+    assert all(len(x.ancestors) == x.pre and x.post == 14 and x.level == 10 * x.pre for x in deep.collect())
     empty = spark.createDataFrame([], "doc_id string, toc_order int, level int, title string, page int")
     assert H.toc_to_tree(empty).count() == 0
 
@@ -194,6 +196,10 @@ def test_flatten(spark, tmp_path):
     (tmp_path / "pages_0000_0014.json").write_text(json.dumps(doc))
     rows = flatten_elements(scan_parsed(spark, str(tmp_path))).orderBy("elem_order").collect()
     assert [r.ref for r in rows] == ["#/texts/0", "#/texts/1", "#/texts/2", "#/pictures/0", "#/texts/3"]
+    nest = [{"self_ref": f"#/groups/{k}", "label": "list", "children": [ref(f"#/groups/{k + 1}" if k < 11 else "#/texts/0")]} for k in range(12)]
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "pages_0000_0014.json").write_text(json.dumps({**doc, "body": {"children": [ref("#/groups/0")]}, "groups": nest}))
+    assert [r.ref for r in flatten_elements(scan_parsed(spark, str(tmp_path / "deep"))).collect()] == ["#/texts/0"]
 
 
 def test_writes(spark, tmp_path):
