@@ -225,8 +225,11 @@ class Model:
         k = slot(word)
         return self.heads[k] / self.words[k] if self.words[k] >= 5 else 1.0
 
-    def odds(self, s: str, ty: int) -> tuple[float, bool]:
-        """Log-odds of ending here without the value's own end, and whether the last word may be whole."""
+    def odds(self, s: str, ty: int, unseen: float = 0.5) -> tuple[float, bool]:
+        """Log-odds of ending here without the value's own end, and whether the last word may be whole.
+
+        ``unseen`` stands for continuations where even the shortest context was hardly met.
+        """
         ctx = last_contexts(s)
         out, whole, found = 0.0, False, False
         for k in range(len(ORDERS) - 1, -1, -1):
@@ -237,7 +240,7 @@ class Model:
             if not found and go_on >= 4:
                 whole, found = self.breaks[i] >= 0.02 * go_on, True
             if self.total[i] >= ENOUGH or k == 0 or self.ends[i] > 5:
-                out = float(np.log(max(self.ends[i] - 1, 0) + 0.1) - np.log(go_on + 0.5))
+                out = float(np.log(max(self.ends[i] - 1, 0) + 0.1) - np.log(go_on + (unseen if self.total[i] < ENOUGH else 0.5)))
                 break
         return out, whole or not s[-1:].isalpha() and s[-1:] not in "_-"
 
@@ -327,7 +330,7 @@ def judge(text: str | None, clean: str | None, ty: int, model: Model) -> tuple[i
         body, marked = open_end(text)
         if is_grid(body):
             s = table_shape(body, True)
-            odds = model.odds(s, ty)[0] - MARK * marked
+            odds = model.odds(s, ty, 4.0)[0] - MARK * marked  # a row that lacks cells goes on, were it the only table
             return WHOLE if s[-1:] == "\ue000" and not marked else ASK, odds, group + language(text), False, False, True
         clean = text
     if not clean.strip():
