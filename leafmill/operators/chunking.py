@@ -209,10 +209,17 @@ def semantic_chunks(units: DataFrame, s: Settings = DEFAULT, compat: Compat = Co
 
     ``top`` is the emitted node and ``fits`` says that it makes one chunk; otherwise its blocks are chunked one by one.
     """
-    units = units.withColumn("atomic_order", F.coalesce("atomic_order", F.lit(0)))
+    return chunks_of_blocks(blocks(units.withColumn("atomic_order", F.coalesce("atomic_order", F.lit(0)))), s, compat)
+
+
+def blocks(units: DataFrame, begins: Column | None = None) -> DataFrame:
+    """Units (id, doc_id, top, fits, atomic_order, ...) with the block and stretch they are chunked in; their texts are not asked for."""
     small = units.where("fits").withColumn("block", F.lit(0).cast("bigint")).withColumn("stretch", F.lit(0).cast("bigint"))
-    large = block_numbers(units.where("not fits"), ["doc_id", "top"])
-    return in_groups(small.unionByName(large), ["doc_id", "top", "block", "stretch"], ["atomic_order", "id"], lambda rows: _chunks_of(rows, s, compat), _CHUNK)
+    return small.unionByName(block_numbers(units.where("not fits"), ["doc_id", "top"], begins))
+
+
+def chunks_of_blocks(units: DataFrame, s: Settings = DEFAULT, compat: Compat = Compat()) -> DataFrame:
+    return in_groups(units, ["doc_id", "top", "block", "stretch"], ["atomic_order", "id"], lambda rows: _chunks_of(rows, s, compat), _CHUNK)
 
 
 def merge_chunks(a: Column, b: Column) -> Column:

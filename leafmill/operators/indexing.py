@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,21 +13,30 @@ from leafmill.functions import text as X
 from leafmill.operators import chunking as C
 
 
+def positions(chunks: DataFrame) -> DataFrame:
+    """(p_id, p_doc, i): each chunk's position in its document."""
+    pos = F.row_number().over(W.partitionBy("doc_id").orderBy("first_order", "chunk_id")) - 1
+    return chunks.select("doc_id", "chunk_id", "first_order").withColumn("i", pos).select(F.col("chunk_id").alias("p_id"), F.col("doc_id").alias("p_doc"), "i")
+
+
+def searched_text(stored: Column) -> Column:
+    """The embedded text of a chunk with ``images`` that have no descriptions."""
+    figures = F.transform("images", lambda x, k: F.concat(F.lit("["), k.cast("string"), F.lit("] \n")))
+    return F.when(F.size("images") > 0, F.concat(stored, F.lit("\n[FIGURE_DESCRIPTIONS]\n"), F.array_join(figures, ""))).otherwise(stored)
+
+
 def index_data(chunks: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
     """(id, document, section, token_count, chunk_id, text_content, search_content, images) of chunks.
 
     Image ids are made of place, chunk and the chunk's position in its document; descriptions (img_id, description) go into the
     searched text, missing ones as empty. Positions come from a window over small columns.
     """
-    pos = F.row_number().over(W.partitionBy("doc_id").orderBy("first_order", "chunk_id")) - 1
-    at = chunks.select("doc_id", "chunk_id", "first_order").withColumn("i", pos).select(F.col("chunk_id").alias("p_id"), F.col("doc_id").alias("p_doc"), "i")
-    rows = chunks.join(at, (F.col("chunk_id") == F.col("p_id")) & (F.col("doc_id") == F.col("p_doc")))
+    rows = chunks.join(positions(chunks), (F.col("chunk_id") == F.col("p_id")) & (F.col("doc_id") == F.col("p_doc")))
     section = X.section_cleanup(F.col("section"))
     ids = F.transform("images", lambda x, k: F.concat(F.lit("img"), k.cast("string"), F.lit("_"), F.col("chunk_id"), F.lit("_"), F.col("i").cast("string")))
     out = rows.select(F.concat("chunk_id", F.lit("_"), F.col("i").cast("string")).alias("id"), "doc_id", "document", section.alias("section"), "token_count", "chunk_id", F.col("text").alias("text_content"), X.store_text(section, F.col("text")).alias("stored"), ids.alias("images"))
     if descriptions is None:
-        figures = F.transform("images", lambda x, k: F.concat(F.lit("["), k.cast("string"), F.lit("] \n")))
-        return out.withColumn("search_content", F.when(F.size("images") > 0, F.concat("stored", F.lit("\n[FIGURE_DESCRIPTIONS]\n"), F.array_join(figures, ""))).otherwise(F.col("stored"))).drop("stored")
+        return out.withColumn("search_content", searched_text(F.col("stored"))).drop("stored")
     d = descriptions.groupBy(F.col("img_id").alias("d_id")).agg(F.max("description").alias("description"))
     each = out.select("id", F.posexplode("images").alias("k", "img")).join(d, F.col("img") == F.col("d_id"), "left")
     told = each.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("description", F.lit("")).alias("t")))).alias("f")).withColumnRenamed("id", "f_id")

@@ -162,19 +162,20 @@ def hybrid_retrieve(asked: DataFrame, chunks: DataFrame, weights: dict[str, floa
 # ---- fusion, re-scoring, budget --------------------------------------------------------------------------------------------
 
 
-def rrf_merge(lists: DataFrame, weights: dict[str, float], s: Settings = DEFAULT) -> DataFrame:
-    """(query_id, rank, doc_id, rrf_score): reciprocal ranks summed over lists (query_id, list, rank, doc_id).
+def rrf_merge(lists: DataFrame, weights: dict[str, float], s: Settings = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, rank, doc_id, rrf_score, *keep): reciprocal ranks summed over lists (query_id, list, rank, doc_id).
 
     A document that a list has twice counts once, at its best rank. Ties: the list named first in ``weights``, then the
-    rank there, then the id.
+    rank there, then the id. ``keep`` names further columns, equal for all rows of a document and query.
     """
+    kept = [F.max(c).alias(c) for c in keep]
     names = list(weights)
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("list"))
     turn = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("list"))
-    one = lists.where(F.col("list").isin(names) & F.col("rank").isNotNull() & F.col("doc_id").isNotNull()).groupBy("query_id", "list", "doc_id").agg(F.min("rank").alias("rank"))
-    merged = one.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight / (s.rrf_constant + F.col("rank"))), 9).alias("rrf_score"), F.min(F.struct(turn.alias("turn"), F.col("rank").alias("first"))).alias("seen"))
+    one = lists.where(F.col("list").isin(names) & F.col("rank").isNotNull() & F.col("doc_id").isNotNull()).groupBy("query_id", "list", "doc_id").agg(F.min("rank").alias("rank"), *kept)
+    merged = one.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight / (s.rrf_constant + F.col("rank"))), 9).alias("rrf_score"), F.min(F.struct(turn.alias("turn"), F.col("rank").alias("first"))).alias("seen"), *kept)
     order = W.partitionBy("query_id").orderBy(F.desc("rrf_score"), "seen.turn", "seen.first", "doc_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.rrf_top_k).select("query_id", "rank", "doc_id", "rrf_score")
+    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.rrf_top_k).select("query_id", "rank", "doc_id", "rrf_score", *keep)
 
 
 def overlap_score(question: Column, text: Column) -> Column:
@@ -191,11 +192,15 @@ def rerank(ranked: DataFrame, score: Column) -> DataFrame:
 
 def greedy_budget(ranked: DataFrame, s: Settings = DEFAULT, compat: Compat = Compat()) -> DataFrame:
     """Rows (query_id, rank, doc_id, text, n_images) that fit the token budget in rank order; what does not fit is passed over.
+    Rows with ``tokens`` bring their cost along instead of the text.
 
     Lists of any length stream through sorted Arrow partitions; only the budget used so far is carried from row to row.
     """
-    images = F.lit(0) if compat.free_images else F.coalesce(F.col("n_images"), F.lit(0)) * s.image_token_estimate
-    cost = X.token_count(F.coalesce(F.col("text"), F.lit(""))) + images
+    if "tokens" in ranked.columns:
+        cost = F.col("tokens")
+    else:
+        images = F.lit(0) if compat.free_images else F.coalesce(F.col("n_images"), F.lit(0)) * s.image_token_estimate
+        cost = X.token_count(F.coalesce(F.col("text"), F.lit(""))) + images
     rows = ranked.where("rank is not null").select("query_id", F.col("rank").cast("int").alias("rank"), F.col("doc_id").cast("string").alias("doc_id"), cost.cast("int").alias("tokens"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,8 +11,8 @@ from leafmill.operators import chunking as C
 from leafmill.operators import hierarchy as H
 from leafmill.operators import indexing as I
 from leafmill.plans.base import WS, core, sql_incomplete, sql_strip, sql_tail, sql_tokens, sql_words
-from leafmill.plans.trees import LATEST, PLACED, TOTALS, TREE, latest, placed, tree
-from leafmill.runtime import cut, table
+from leafmill.plans.trees import LATEST, PLACED, TOTALS, TREE, latest, places, tree
+from leafmill.runtime import cut, cut_packed, merged, table
 
 _DOCS = "d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND length(text) > 0)"
 
@@ -65,21 +65,22 @@ def chunk_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hsf(spark: SparkSession, sf_dir: str, compat: Compat = Compat()) -> DataFrame:
     """Hierarchical-semantic chunks of every document."""
     nodes = tree(spark, sf_dir)
-    own = placed(spark, sf_dir, nodes)
+    own = places(spark, sf_dir, nodes)
     totals = cut(H.subtree_tokens(nodes, own.groupBy("doc_id", "pre").agg(F.sum("size").alias("own_tokens"))))
     stops = H.choose_cut(nodes, totals, inner_text=not compat.drop_inner_text)
     joined = nodes.join(totals, ["doc_id", "pre"])
     tops = stops.select("doc_id", F.col("pre").alias("top"), "whole").join(joined.select("doc_id", F.col("pre").alias("top"), "path", "token_count", "own_tokens"), ["doc_id", "top"])
     # a unit belongs to the emitted node above its own; inner nodes that do not fit take only what is theirs alone
-    above = nodes.select("doc_id", "pre", F.explode(F.concat("ancestors", F.array("pre"))).alias("top")).join(tops, ["doc_id", "top"]).where("whole or pre = top")
+    above = nodes.select("doc_id", "pre", F.explode(F.concat("ancestors", F.array("pre"))).alias("top")).join(tops, ["doc_id", "top"]).where("pre >= 0 and (whole or pre = top)")
     above = above.select("doc_id", "pre", "top", "path", (F.when(F.col("whole"), F.col("token_count")).otherwise(F.col("own_tokens")) <= 600).alias("fits"))
-    inside = own.where("pre >= 0").join(above, ["doc_id", "pre"])
-    free = own.where("pre < 0").withColumn("top", F.lit(-1)).withColumn("path", F.lit("")).withColumn("fits", F.lit(False))
-    names = ["id", "doc_id", "top", "path", "fits", "type", "heading_type", "description", "content", "atomic_order", "size"]
-    units = inside.select(*names).unionByName(free.select(*names))
+    free = own.where("pre < 0").select("doc_id").distinct().select("doc_id", F.lit(-1).alias("pre"), F.lit(-1).alias("top"), F.lit("").alias("path"), F.lit(False).alias("fits"))
     corpus = table(spark, sf_dir, "corpus").groupBy(F.col("doc_id").alias("c_doc")).agg(F.max(F.struct("registered_at", "file_path")).alias("r"))
-    units = units.join(corpus, F.col("doc_id") == F.col("c_doc"), "left").withColumn("document", F.coalesce(X.sanitize_filename(F.col("r.file_path")), F.col("doc_id"))).drop("c_doc", "r")
-    return C.semantic_chunks(units, compat=compat)
+    above = above.unionByName(free).join(corpus, F.col("doc_id") == F.col("c_doc"), "left").withColumn("document", F.coalesce(X.sanitize_filename(F.col("r.file_path")), F.col("doc_id"))).drop("c_doc", "r")
+    units = own.withColumn("pre", F.greatest("pre", F.lit(-1))).join(cut(above), ["doc_id", "pre"]).select("id", "doc_id", "top", "path", "document", "fits", "atomic_order", "begins")
+    # only places have gone through joins and windows so far; texts are read now, and shuffled once to their ids and once to their blocks
+    parts = C.blocks(units, F.col("begins")).select("id", "doc_id", "top", "path", "document", "fits", "atomic_order", "block", "stretch")
+    texts = latest(spark, sf_dir).select("id", "type", "heading_type", "description", "content", "size")
+    return C.chunks_of_blocks(cut_packed(merged(texts, parts, "id")), compat=compat)
 
 
 @core("WITH c AS (SELECT doc_id, any_value(text) AS text FROM hits WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id), w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{M}\\p{N}_]+'), lambda x: x <> '') AS w FROM c), t AS (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM w) SELECT term, doc_id, count(*) AS tf, max(len)::INT AS len FROM t GROUP BY term, doc_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as X
 from leafmill.operators import hierarchy as H
 from leafmill.plans.base import WS, core, sql_strip
-from leafmill.runtime import cut, latest_by_id, table
+from leafmill.runtime import cut, cut_packed, latest_by_id, table
 
 FIELDS = ["created_at", "atomic_order", "token_count", "doc_id", "type", "heading_type", "description", "content"]
 LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST, atomic_order DESC NULLS LAST, token_count DESC NULLS LAST, doc_id DESC NULLS LAST, type DESC NULLS LAST, heading_type DESC NULLS LAST, description DESC NULLS LAST, content DESC NULLS LAST) AS rn FROM atomic_elements WHERE id IS NOT NULL) WHERE rn = 1"
@@ -17,7 +17,11 @@ _SIZE = "CASE WHEN token_count > 0 THEN token_count WHEN trim(coalesce(content,
 
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest row of each element with its size."""
-    rows = latest_by_id(table(spark, sf_dir, "atomic_elements"), "id", ["created_at", "atomic_order", "token_count"], FIELDS)
+    return _sized(table(spark, sf_dir, "atomic_elements"))
+
+
+def _sized(elements: DataFrame) -> DataFrame:
+    rows = latest_by_id(elements, "id", ["created_at", "atomic_order", "token_count"], FIELDS)
     size = F.when(F.col("token_count") > 0, F.col("token_count")).when(F.trim(F.coalesce("content", F.lit(""))) == "", 0).otherwise(X.token_count(F.col("content")))
     return rows.withColumn("size", size)
 
@@ -26,14 +30,33 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(H.toc_to_tree(table(spark, sf_dir, "toc")))
 
 
+def opened(rows: DataFrame, heads: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows with ``pre``, the entry open at their place; ``heads`` (doc_id, atomic_order, title) are the main headings."""
+    found = H.assign_nodes(heads, nodes.select("doc_id", "pre", "title"))
+    found = found.groupBy(F.col("doc_id").alias("o_doc"), F.col("atomic_order").alias("o_at")).agg(F.max("pre").alias("opens"))  # headings at one place open the last
+    opening = rows.join(found, (F.col("doc_id") == F.col("o_doc")) & (F.col("atomic_order") == F.col("o_at")) & (F.col("heading_type") == "main"), "left").drop("o_doc", "o_at")
+    return H.running_last(opening, "doc_id", "atomic_order", "opens", "open").withColumn("pre", F.coalesce("open", F.lit(-1))).drop("opens", "open")
+
+
+def places(spark: SparkSession, sf_dir: str, nodes: DataFrame) -> DataFrame:
+    """(id, doc_id, atomic_order, size, begins, pre): as ``placed``, but no text is moved or kept except headings and texts without a count.
+
+    Rows that tie up to their content have the same type and count, so all of them or none bring it along.
+    """
+    asked = (F.col("type") == "section_header") | ~F.coalesce(F.col("token_count") > 0, F.lit(False))
+    rows = _sized(table(spark, sf_dir, "atomic_elements").withColumn("content", F.when(asked, F.col("content")))).where("doc_id is not null")
+    head = F.col("type") == "section_header"
+    small = cut_packed(rows.select("id", "doc_id", F.coalesce("atomic_order", F.lit(0)).alias("atomic_order"), "size", "heading_type", head.alias("head"), F.when(head & (F.col("heading_type") == "main"), F.col("content")).alias("title")))
+    heads = small.where("head and heading_type = 'main'").select("doc_id", "atomic_order", "title")
+    begins = F.coalesce(F.col("head") & (F.col("heading_type") == "nottoc"), F.lit(False)).alias("begins")
+    return cut_packed(opened(small.select("id", "doc_id", "atomic_order", "size", "heading_type", begins), heads, nodes).drop("heading_type"))
+
+
 def placed(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -> DataFrame:
     """Elements with the open entry of their document; those before the first heading, or without entries, lie in -1."""
     rows = cut(latest(spark, sf_dir).where("doc_id is not null").withColumn("atomic_order", F.coalesce("atomic_order", F.lit(0))))
     heads = rows.where("type = 'section_header' and heading_type = 'main'").select("doc_id", "atomic_order", F.col("content").alias("title"))
-    opened = H.assign_nodes(heads, (nodes or tree(spark, sf_dir)).select("doc_id", "pre", "title"))
-    opened = opened.groupBy(F.col("doc_id").alias("o_doc"), F.col("atomic_order").alias("o_at")).agg(F.max("pre").alias("opens"))  # headings at one place open the last
-    heads = rows.join(opened, (F.col("doc_id") == F.col("o_doc")) & (F.col("atomic_order") == F.col("o_at")) & (F.col("heading_type") == "main"), "left").drop("o_doc", "o_at")
-    return cut(H.running_last(heads, "doc_id", "atomic_order", "opens", "open").withColumn("pre", F.coalesce("open", F.lit(-1))).drop("opens", "open"))
+    return cut(opened(rows, heads, nodes or tree(spark, sf_dir)))
 
 
 TREE = """n AS (SELECT doc_id, toc_order AS pre, level, coalesce(title, '') AS title, page FROM toc),
