@@ -1,7 +1,7 @@
 """Both searches over a large corpus for many questions: documents in compact form, no pair of question and document in a shuffle.
 
 A document is kept as its hashed vector and its counts of the words that any question has. Tasks hold a shard of such documents and
-answer a slice of the questions, so that only the best of a shard leave it, with what re-scoring and the budget ask of them.
+answer a slice of the questions, so that only what the task may have as its best leaves it, with what re-scoring and the budget ask.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from leafmill.functions import text as X
 from leafmill.operators.retrieval import terms
 
 DIM = 64
-#: Documents held at once, the share of them that a task is given on average, and questions whose candidates are held at once.
-SHARD, FILLED, BLOCK = 65536, 0.75, 512
+#: Documents of a task, of these held at once, and questions whose candidates are held at once.
+PART, SHARD, BLOCK = 65536, 16384, 512
 #: More than what single precision can be off in a product of two unit vectors, and than what rounding to six places moves a score.
 NEAR, ROUNDED = 1e-5, 2e-6
 
@@ -98,8 +98,8 @@ def _kept(row: np.ndarray, value: np.ndarray, doc: np.ndarray, k: int) -> tuple[
     return row[keep], value[keep], doc[keep]
 
 
-def _nearest(q: np.ndarray, d: np.ndarray, unit: np.ndarray, norm: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact: what single precision leaves within NEAR of the k best so far is worked out from the counts."""
+def _nearest(q: np.ndarray, d: np.ndarray, unit: np.ndarray, norm: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact: what single precision leaves within NEAR of the k best so far is worked out from the counts; nothing below ``floor``."""
     length = np.sqrt((q * q).sum(axis=1))
     one = (q / np.where(length == 0, 1, length)[:, None]).astype(np.float32)
     none = np.flatnonzero(length == 0)  # similar to nothing: the first documents
@@ -107,12 +107,12 @@ def _nearest(q: np.ndarray, d: np.ndarray, unit: np.ndarray, norm: np.ndarray, k
     few = min(k, len(d))
     row, value, doc = np.repeat(none, few), np.zeros(len(none) * few), np.tile(np.arange(few), len(none))
     r, v, c = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-    least = np.full(len(some), -np.inf, np.float32)
+    least = (floor[some] - NEAR).astype(np.float32)
     at, step = 0, 2048
     while at < len(d) and len(some):
         sims = one[some] @ unit[at : at + step].T
         if at == 0 and sims.shape[1] > k:
-            least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k] - np.float32(NEAR)
+            least = np.maximum(least, np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k] - np.float32(NEAR))
         hit = np.flatnonzero((sims >= least[:, None]).ravel())
         r1, c1 = hit // sims.shape[1], hit % sims.shape[1] + at
         by = norm[c1] * length[some[r1]]
@@ -121,7 +121,7 @@ def _nearest(q: np.ndarray, d: np.ndarray, unit: np.ndarray, norm: np.ndarray, k
         full = np.bincount(r, minlength=len(some)) >= k
         lows = np.full(len(some), np.inf)
         np.minimum.at(lows, r, v)
-        least = np.where(full, lows - NEAR, -np.inf).astype(np.float32)
+        least = (np.where(full, np.maximum(lows, floor[some]), floor[some]) - NEAR).astype(np.float32)
         at, step = at + step, 8192
     return np.concatenate([row, some[r]]), np.concatenate([value, v]), np.concatenate([doc, c])
 
@@ -143,12 +143,12 @@ class _Postings:
         at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
         return (self.key[at] == key if len(self.key) else np.zeros(len(key), bool)), at
 
-    def best(self, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def best(self, words: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Exact: words are added from the greatest weight on, until the rest cannot lift a document met in none of them."""
         words = words[self.most[words] > 0]
         words = words[np.argsort(-self.most[words], kind="stable")]
         rest = np.append(np.cumsum(self.most[words][::-1])[::-1], 0.0)
-        least, met, j = -np.inf, [], 0
+        met, j = [], 0
         while j < len(words) and rest[j] >= least - ROUNDED:
             own = slice(self.at[words[j]], self.at[words[j] + 1])
             docs = self.doc[own]
@@ -171,8 +171,17 @@ class _Postings:
         return score, found
 
 
+def _raised(tops: np.ndarray, row: np.ndarray, value: np.ndarray) -> None:
+    """Let ``tops``, the k greatest values of each row so far, take up further values, at most k a row."""
+    by = np.argsort(row, kind="stable")
+    row, value = row[by], value[by]
+    more = np.full(tops.shape, -np.inf)
+    more[row, np.arange(len(row)) - np.searchsorted(row, row)] = value
+    tops[:] = np.partition(np.concatenate([tops, more], 1), tops.shape[1], axis=1)[:, tops.shape[1] :]
+
+
 def _answers(shared, part: slice, s: Settings) -> Callable:
-    def shard(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shard(held: list[pa.RecordBatch], near: np.ndarray, found_in: np.ndarray) -> Iterator[pa.RecordBatch]:
         q = shared.value
         t = pa.Table.from_batches(held).sort_by("doc_id").combine_chunks()  # places are in the order of the ids
         held.clear()
@@ -188,12 +197,17 @@ def _answers(shared, part: slice, s: Settings) -> Callable:
         del t, lists, doc, term, tf, part_of
         for lo in range(part.start, part.stop, BLOCK):
             hi = min(lo + BLOCK, part.stop)
-            row, value, place = _nearest(q["vec"][lo:hi].astype(np.float64), d, unit, norm, s.vector_limit)
-            found = [(row, value, place, np.ones(len(row), np.int32))]
-            for i in range(lo, hi):
-                score, docs = p.best(q["term"][q["from"][i] : q["from"][i + 1]], s.text_limit)
-                found.append((np.full(len(docs), i - lo), score, docs, np.full(len(docs), 2, np.int32)))
-            row, value, place, turn = (np.concatenate(x) for x in zip(*found, strict=True))
+            row, value, place = _nearest(q["vec"][lo:hi].astype(np.float64), d, unit, norm, s.vector_limit, (tops := near[lo - part.start : hi - part.start]).min(axis=1))
+            _raised(tops, row, value)
+            lists = [(np.full(1, hi - lo), np.zeros(1), np.zeros(1, np.int64))]
+            tops = found_in[lo - part.start : hi - part.start]
+            for i, floor in zip(range(lo, hi), tops.min(axis=1), strict=True):
+                score, docs = p.best(q["term"][q["from"][i] : q["from"][i + 1]], s.text_limit, floor)
+                lists.append((np.full(len(docs), i - lo), score, docs))
+            own = [np.concatenate(x)[1:] for x in zip(*lists, strict=True)]
+            _raised(tops, own[0], own[1])
+            turn = np.repeat(np.array([1, 2], np.int32), [len(row), len(own[0])])
+            row, value, place = (np.concatenate(x) for x in zip((row, value, place), own, strict=True))
             words = np.diff(q["from"])[lo + row]
             at = np.repeat(np.arange(len(row)), words)
             word = q["term"][np.repeat(q["from"][lo + row] - _starts(words)[:-1], words) + np.arange(len(at))]
@@ -205,12 +219,13 @@ def _answers(shared, part: slice, s: Settings) -> Callable:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        tops = [np.full((part.stop - part.start, k), -np.inf) for k in (s.vector_limit, s.text_limit)]
         for b in batches:
             held.append(b)
             if sum(x.num_rows for x in held) >= SHARD:
-                yield from shard(held)
+                yield from shard(held, *tops)
         if any(x.num_rows for x in held):
-            yield from shard(held)
+            yield from shard(held, *tops)
         pa.default_memory_pool().release_unused()
 
     return work
@@ -229,7 +244,7 @@ def both_searches(asked: dict, docs: DataFrame, s: Settings = DEFAULT) -> DataFr
         df[r[0]] = r[1]
     idf = np.log(1 + (met - df + 0.5) / (df + 0.5))
     shared = spark.sparkContext.broadcast({k: asked[k] for k in ("id", "vec", "term", "from")} | {"idf": idf, "average": (size or 0) / max(1, met)})
-    n, shards = len(asked["id"]), max(1, -(-count // int(SHARD * FILLED)))
+    n, shards = len(asked["id"]), max(1, -(-count // PART))
     each = max(1, -(-n // max(1, -(-2 * spark.sparkContext.defaultParallelism // shards))))
     rows = docs.select("doc_id", "tokens", "len", "vec", "term", "tf").coalesce(shards)
     kind = "query_id bigint, turn int, doc_id string, value double, common int, words int, tokens int"

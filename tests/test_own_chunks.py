@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import retrieval as R
 
-DATA = "/root/testdata/sf0.001"
+DATA, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 def test_compact_search_is_exact(spark):
@@ -40,10 +40,18 @@ def shuffled(spark) -> int:
     return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="needs the test tables")
 def test_no_postings_are_shuffled(spark):
     from leafmill.plans.search import ask_own_chunks
 
-    n, before = spark.read.parquet(f"{DATA}/atomic_elements.parquet").count(), shuffled(spark)
-    ask_own_chunks(spark, DATA).collect()
+    n, before = spark.read.parquet(f"{LARGER}/atomic_elements.parquet").count(), shuffled(spark)
+    ask_own_chunks(spark, LARGER).collect()
     assert shuffled(spark) - before < 40 * n
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_every_question_is_asked(spark):
+    from leafmill.plans.search import ask_own_chunks
+
+    answered = {r.query_id for r in ask_own_chunks(spark, DATA).select("query_id").distinct().collect()}
+    assert answered == {r.query_id for r in spark.read.parquet(f"{DATA}/questions.parquet").collect()}
